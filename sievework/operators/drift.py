@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import numbered
 
 #: The layout that reports are brought to.
 SUMMARY = ("total_invariants", "temporal_ordering_count", "resource_lifecycle_count", "state_machine_count", "precondition_count", "protocol_count", "modules_analyzed")
@@ -151,23 +152,6 @@ def one_table(reports: DataFrame) -> DataFrame:
     return parsed(reports).where("readable").select("file_id", "crate_name", "run_id", "written_at", F.from_json("canonical", layout).alias("r")).select("file_id", "crate_name", "run_id", "written_at", "r.summary", "r.invariants")
 
 
-def numbered(df: DataFrame, group: list[str], time: str, tie: str) -> DataFrame:
-    """Adds ``seq``, the row's place in its group by (time, tie), and ``next_<tie>``, the following row's.
-
-    The order is found day by day, then days are put together by their counts, so that no task
-    holds more of a group than a day. Null times come first.
-    """
-    day = F.coalesce(F.date_trunc("day", time), F.lit("0001-01-01").cast("timestamp"))
-    df = df.withColumn("_day", day)
-    w = Window.partitionBy(*group, "_day").orderBy(F.col(time).asc_nulls_first(), tie)
-    days = df.groupBy(*group, "_day").agg(F.count(F.lit(1)).alias("_n"), F.min_by(tie, F.struct(time, tie)).alias("_first"))
-    wd = Window.partitionBy(*group).orderBy("_day")
-    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_then", F.lead("_first").over(wd))
-    inner = df.withColumn("_rn", F.row_number().over(w)).withColumn("_next", F.lead(tie).over(w))
-    out = inner.join(days.select(*group, "_day", "_before", "_then"), [*group, "_day"])
-    return out.withColumn("seq", F.col("_before") + F.col("_rn")).withColumn(f"next_{tie}", F.coalesce("_next", "_then")).drop("_day", "_rn", "_next", "_before", "_then")
-
-
 def changes(reports: DataFrame) -> DataFrame:
     """(file_id, field_path, change_kind, old_path, new_path, old_type, new_type): each change of a report against the last readable one of its crate.
 
