@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled, letters_digits, strip, words
+from ..operators.similarity import KEY, keyed_sets, pairs
 from ..session import cut
 from .components import components
 
@@ -41,11 +42,6 @@ def _classes(findings: DataFrame) -> DataFrame:
     return base.withColumn("cls", F.md5(F.concat_ws("\0", F.col("block"), F.col("w"))))
 
 
-def _least(n: Column, m: Column) -> Column:
-    """Common words that sets of n and m words need for more than three fifths of their union."""
-    return F.floor((n + m) * 3 / 8).cast("int") + 1
-
-
 def _subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield pd.DataFrame({"cid": b["cid"], "lo": b["lo"], "hi": b["hi"], "n": b["n"], "block": b["block"], "keys": [[xxhash.xxh3_64_intdigest("\0".join(s)) - 2**63 for s in combinations(sorted(w), o)] for w, o in zip(b["w"], b["o"])]})
@@ -54,35 +50,21 @@ def _subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): word sets of one block of which more than three fifths is common, enough of them to chain all that are.
 
-    classes: (cid, block, w). A pair of sets with n and m words needs o common ones; ordered by
-    rarity within the block, they then share a word among the first n-o+1 and m-o+1, which is
-    what they are joined on, for every pair of lengths that occurs in the block. Where more than
-    ``hot`` sets share such a word, their o-subsets are formed instead; sets that share one are
+    classes: (cid, block, w). Sets meet on their rarest words. Where more than ``hot`` sets share such a word, their o-subsets are formed instead; sets that share one are
     linked to its smallest holder of the lesser length, so that links grow with the sets and not
     with their pairs. Only sets too long for that are joined pair by pair, which Spark splits.
     """
-    sized = classes.select("cid", "block", "w", F.size("w").alias("n"))
-    shape = sized.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.collect_set("n").alias("lengths")).where("k > 1").drop("k")
-    multi = cut(sized.join(shape, "block"))
-    at = multi.select("cid", "block", F.explode("w").alias("word"))
-    rare = at.groupBy("block", "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = at.join(rare, ["block", "word"]).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r")).select("cid", F.col("r.word").alias("r"))
-    one = multi.join(ranked, "cid").withColumn("m", F.explode("lengths")).withColumn("o", _least(F.col("n"), F.col("m"))).where(F.col("o") <= F.least("n", "m"))
-    keyed = one.select("cid", "block", "w", "n", "o", F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"), F.explode(F.slice("r", F.lit(1), F.col("n") - F.col("o") + 1)).alias("word"))
-    key = ["block", "lo", "hi", "word"]
-    keyed = cut(keyed)
+    keyed, key = keyed_sets(classes), KEY
     crowded = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select(*key)
     few = (_comb(F.col("lo"), F.col("o")) <= SUBSETS) & (_comb(F.col("hi"), F.col("o")) <= SUBSETS)
     dense = keyed.where(few).join(crowded, key, "left_semi")
     sparse = keyed.where(few).join(crowded, key, "left_anti").unionByName(keyed.where(~few))
-    x, y = sparse.where("n = lo").select(*key, F.col("cid").alias("a"), F.col("w").alias("wa"), "o"), sparse.where("n = hi").select(*key, F.col("cid").alias("b"), F.col("w").alias("wb"))
-    pairs = x.join(y, key).where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))).where(F.size(F.array_intersect("wa", "wb")) >= F.col("o")).select("a", "b")
     picked = dense.select("cid", "block", "w", "n", "o", "lo", "hi").dropDuplicates(["cid", "lo", "hi"])
     shared = picked.mapInPandas(_subsets, "cid long, lo int, hi int, n int, block string, keys array<long>").withColumn("key", F.explode("keys"))
     group = ["block", "lo", "hi", "key"]
     centre = shared.where("n = lo").groupBy(*group).agg(F.min("cid").alias("b"))
     stars = shared.join(centre, group).where("cid <> b").select(F.col("cid").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    return pairs(sparse).unionByName(stars).distinct()
 
 
 def _comb(n: Column, k: Column) -> Column:
@@ -122,10 +104,10 @@ def survivors(findings: DataFrame, hot: int = HOT) -> DataFrame:
         offer("explanation", F.lit(True), filled_sections(F.col("explanation"))),
         offer("pattern", is_filled(F.col("suggested_pattern")), trust),
     )
-    candidates = rows.join(members, "cls").select("cls", "group_id", "id", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("f")).select("cls", "group_id", "id", "f.field", "f.score")
+    candidates = rows.select("cls", "id", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("f")).select("cls", "id", "f.field", "f.score")
     best = F.col("score").desc(), F.col("id")
-    top = candidates.withColumn("place", F.row_number().over(Window.partitionBy("cls", "group_id", "field").orderBy(*best))).where("place = 1")
-    top = top.withColumn("place", F.row_number().over(Window.partitionBy("group_id", "field").orderBy(*best))).where("place = 1")
+    top = candidates.withColumn("place", F.row_number().over(Window.partitionBy("cls", "field").orderBy(*best))).where("place = 1")
+    top = top.drop("place").join(members, "cls").withColumn("place", F.row_number().over(Window.partitionBy("group_id", "field").orderBy(*best))).where("place = 1")
     pick = lambda field: F.max(F.when(F.col("field") == field, F.col("id"))).alias(f"{field}_id")
     return top.groupBy("group_id").agg(pick("confidence"), pick("explanation"), pick("pattern"))
 
