@@ -37,4 +37,4 @@ def is_filled(c: Column) -> Column:
 
 def rust_lines(c: Column) -> Column:
     """Lines without terminators; a final newline begins no further line."""
-    return F.split(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\n$", ""), "\n")
+    return F.split(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), r"\n\z", ""), "\n")
