@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import shared_dir, work_path
+from ..session import work_path
 
 
 def instant(ts: Column) -> Column:
@@ -31,71 +31,85 @@ def message_key() -> Column:
     return F.when(F.col("message_seq").isNotNull(), numbered).otherwise(described)
 
 
-def _search(bits: int):
-    def seen(key: tuple, batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one hash prefix that no run of the index holds."""
-        fresh = np.ones(len(batch), bool)
-        h1, h2 = batch["h1"].to_numpy(np.int64), batch["h2"].to_numpy(np.int64)
-        for r1, r2 in zip(runs["h1s"], runs["h2s"]):
-            a, b = np.asarray(r1, np.int64), np.asarray(r2, np.int64)
-            at, end = np.searchsorted(a, h1, "left"), np.searchsorted(a, h1, "right")
-            for step in range(int((end - at).max(initial=0))):
-                i = at + step
-                inside = i < end
-                fresh[inside] &= b[i[inside]] != h2[inside]
-        return batch[fresh]
-
-    return seen
+def _unseen(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one hash prefix that no run of the index holds."""
+    fresh = np.ones(len(batch), bool)
+    h1, h2 = batch["h1"].to_numpy(np.int64), batch["h2"].to_numpy(np.int64)
+    for r1, r2 in zip(runs["h1s"], runs["h2s"]):
+        a, b = np.asarray(r1, np.int64), np.asarray(r2, np.int64)
+        at, end = np.searchsorted(a, h1, "left"), np.searchsorted(a, h1, "right")
+        for step in range(int((end - at).max(initial=0))):
+            i = at + step
+            inside = i < end
+            fresh[inside] &= b[i[inside]] != h2[inside]
+    return batch[fresh]
 
 
 class SeenIndex:
     """The identifiers seen so far, as sorted arrays by hash prefix in immutable runs under the shared folder.
 
     An identifier is a 128-bit hash. Its leading ``bits`` bits are the prefix; each run holds one
-    sorted array per prefix. Incoming batches are deduplicated among themselves by a partial
-    aggregate, then binary-searched in the runs of their prefix, and what is novel becomes a
-    further run. Every ``merge_every`` runs are merged into one.
-    ``bits`` is chosen so that an array holds about ``per_array`` identifiers.
+    sorted array per prefix, of about ``per_array`` identifiers for the ``expected`` number.
+    Incoming batches are deduplicated among themselves by a partial aggregate, then binary-searched
+    in the runs of their prefix, and what is novel becomes the run of the batch. Once
+    ``merge_every`` runs have gathered they are merged into one. Files are never changed: an index
+    opened on a ``path`` that holds one goes on with its latest merged run and the batches since,
+    and a batch that is added again, after a crash, gives what it gave before.
     """
 
     def __init__(self, spark: SparkSession, expected: int, per_array: int = 500_000, merge_every: int = 4, path: str | None = None):
         self.spark, self.merge_every = spark, merge_every
         self.bits = min(20, max(4, math.ceil(math.log2(max(1, expected) / per_array)))) if expected > 0 else 4
         self.path = path or work_path(spark, "seen-index")
-        self.runs: list[str] = []
-        self.count = 0
-
-    def _next(self) -> str:
-        self.count += 1
-        return f"{self.path}/run-{self.count:05d}"
-
-    def _prefix(self, h: Column) -> Column:
-        return F.shiftrightunsigned(h, 64 - self.bits).cast("int")
-
-    def add(self, batch: DataFrame, key: Column, order: str) -> DataFrame:
-        """Index the batch; return the ``order`` value of each row that is the first of a message not seen before."""
-        ids = batch.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), F.col(order).alias("at"))
-        local = ids.groupBy("h1", "h2").agg(F.min("at").alias("at")).withColumn("prefix", self._prefix(F.col("h1")))
-        schema = "h1 long, h2 long, at long, prefix int"
-        if self.runs:
-            known = self.spark.read.parquet(*self.runs)
-            local = local.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInPandas(_search(self.bits), schema)
-        rows = self._next()
-        local.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("h1", "h2", "at"))).alias("ids")).select(
-            "prefix", F.col("ids.h1").alias("h1s"), F.col("ids.h2").alias("h2s"), F.col("ids.at").alias("ats")
-        ).write.parquet(rows)
-        self.runs.append(rows)
-        kept = self.spark.read.parquet(rows).select(F.explode("ats").alias(order))
-        if len(self.runs) >= self.merge_every:
-            self.merge()
-        return kept
+        whole = [n for n in self._there() if self._exists(f"{n}/_SUCCESS")]
+        merged = max((n for n in whole if n.startswith("merge-")), default="")
+        self.runs = ([merged] if merged else []) + sorted(n for n in whole if n.startswith("batch-") and n[6:] > merged[6:])
+        self.count = max((int(n[6:]) + 1 for n in whole), default=0)
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
+
+    def _exists(self, name: str) -> bool:
+        fs, jvm = self._fs()
+        return fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+
+    def _there(self) -> list[str]:
+        fs, jvm = self._fs()
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _read(self, *names: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names])
+
+    def add(self, batch: DataFrame, key: Column, order: str, number: int | None = None) -> DataFrame:
+        """Index the batch; return the ``order`` value of each row that is the first of a message not seen before.
+
+        ``number`` names the batch; batches are numbered from 0 as they come.
+        """
+        number = self.count if number is None else number
+        name = f"batch-{number:09d}"
+        if not self._exists(f"{name}/_SUCCESS"):
+            ids = batch.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), F.col(order).alias("at"))
+            local = ids.groupBy("h1", "h2").agg(F.min("at").alias("at")).withColumn("prefix", F.shiftrightunsigned("h1", 64 - self.bits).cast("int"))
+            if self.runs:
+                known = self._read(*self.runs).select("prefix", "h1s", "h2s")
+                local = local.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInPandas(_unseen, "h1 long, h2 long, at long, prefix int")
+            run = local.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("h1", "h2", "at"))).alias("ids"))
+            run.select("prefix", F.col("ids.h1").alias("h1s"), F.col("ids.h2").alias("h2s"), F.col("ids.at").alias("ats")).write.mode("overwrite").parquet(f"{self.path}/{name}")
+            self.runs.append(name)
+            self.count = number + 1
+            if len(self.runs) > self.merge_every:
+                self.merge()
+        return self._read(name).select(F.explode("ats").alias(order))
 
     def merge(self) -> None:
-        """Replace the runs by one that holds them all; the old files stay as they are, for readers that began on them."""
-        rows = self._next()
-        every = self.spark.read.parquet(*self.runs).groupBy("prefix").agg(F.collect_list(F.arrays_zip("h1s", "h2s")).alias("parts"))
-        every.select("prefix", F.array_sort(F.flatten("parts")).alias("ids")).select("prefix", F.col("ids.h1s").alias("h1s"), F.col("ids.h2s").alias("h2s")).write.parquet(rows)
-        self.runs = [rows]
+        """One run in place of those there are; the old files stay for readers that began on them."""
+        name = f"merge-{self.count - 1:09d}"
+        parts = self._read(*self.runs).groupBy("prefix").agg(F.flatten(F.collect_list(F.arrays_zip("h1s", "h2s"))).alias("ids"))
+        parts.select("prefix", F.array_sort("ids").alias("ids")).select("prefix", F.col("ids.h1s").alias("h1s"), F.col("ids.h2s").alias("h2s")).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.runs = [name]
 
 
 def repeated(messages: DataFrame, key: Column | None = None, order: str = "delivery_no", batches: int = 4) -> DataFrame:
@@ -109,14 +123,13 @@ def repeated(messages: DataFrame, key: Column | None = None, order: str = "deliv
     An empty table gives no rows; other columns are not read.
     """
     spark, key = messages.sparkSession, message_key() if key is None else key
-    shared_dir(spark)
     placed = messages.where(F.col(order).isNotNull())
     cuts = [i / batches for i in range(1, batches)]
     n, marks = placed.agg(F.count(order), F.percentile_approx(order, cuts, 10_000)).first()
     index = SeenIndex(spark, n)
     if not n:
         return placed.select(order)
-    edges = [None, *sorted(set(marks)), None]
+    edges = [None, *sorted(set(marks or [])), None]
     kept = None
     for low, high in zip(edges, edges[1:]):
         batch = placed

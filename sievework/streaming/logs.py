@@ -32,11 +32,14 @@ def analyse_stream(spark: SparkSession, chunks: DataFrame, log: str, checkpoint:
 
 
 def once_stream(messages: DataFrame, index: SeenIndex, out: str, checkpoint: str, key: Column | None = None, order: str = "delivery_no") -> StreamingQuery:
-    """Messages of each micro-batch that no earlier one held, appended to ``out``; the index lives as long as the query's driver."""
+    """Messages of each micro-batch that no earlier one held, in ``out``, a folder a batch.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        kept = index.add(rows, message_key() if key is None else key, order)
-        rows.join(kept, order, "left_semi").write.mode("append").parquet(out)
+    A batch that Spark runs again after a crash finds its own run in the index and writes its
+    folder anew, so nothing is lost or doubled.
+    """
 
-    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(rows: DataFrame, number: int) -> None:
+        kept = index.add(rows, message_key() if key is None else key, order, number)
+        rows.join(kept, order, "left_semi").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
