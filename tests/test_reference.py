@@ -147,7 +147,7 @@ def test_detector_retries_and_replay(spark):
 
     p = spark.createDataFrame([("1", "abc"), ("2", "bad")], "prompt_id string, prompt string")
     out = {r.prompt_id: (r.reply, r.tokens, r.error) for r in detect.answered(p, Flaky, 1, pause=lambda s: None).collect()}
-    assert out == {"1": ("ABC", 3, None), "2": (None, None, "no such model")}
+    assert out == {"1": ("ABC", 3, None), "2": (None, 0, "no such model")}
     replies = p.select(F.sha2("prompt", 256).alias("prompt_hash"), F.lit("[]").alias("reply"), F.lit(1).alias("tokens")).limit(1)
     assert {r.error for r in detect.replayed(p, replies).collect()} == {None, "no such reply"}
 
