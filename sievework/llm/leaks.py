@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 UNSEEN = regex.compile(r"[\p{Cf}\p{M}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+#: The same for Spark, with what compatibility forms become such characters.
+CJK_RANGES = r"[\x{2E80}-\x{2FDF}\x{3005}-\x{30FF}\x{3190}-\x{319F}\x{31F0}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{1F200}-\x{1F2FF}\x{20000}-\x{3FFFF}]"
 #: Languages whose items are matched by characters, not words.
 BY_CHARACTER = ("zh", "ja")
 WORDS, CHARACTERS = 13, 30
@@ -89,15 +91,22 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     """Whether each row of a is at most ``edits`` insertions, deletions or changes from that of b."""
     if edits == 0:
         return (a == b).all(axis=1)
-    n = a.shape[1]
-    row = np.tile(np.arange(n + 1, dtype=np.int16), (len(a), 1))
+    # of rows of one length, one edit can only be a change; more may also be shifts, which the table finds
+    out = (a != b).sum(axis=1) <= edits
+    if edits == 1:
+        return out
+    rest = np.flatnonzero(~out)
+    x, y, n = a[rest], b[rest], a.shape[1]
+    row = np.tile(np.arange(n + 1, dtype=np.int16), (len(rest), 1))
     for i in range(1, n + 1):
         new = np.empty_like(row)
         new[:, 0] = i
         for j in range(1, n + 1):
-            new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
-        row = new
-    return row[:, n] <= edits
+            new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+        live = new.min(axis=1) <= edits
+        rest, x, y, row = rest[live], x[live], y[live], new[live]
+    out[rest] = row[:, n] <= edits
+    return out
 
 
 def units(text: str) -> list[str]:
@@ -153,6 +162,21 @@ def _windows(key: str, p: Plan, by_character: bool):
     return run
 
 
+def _scarcest(window: int):
+    """The least number of CJK characters in any window of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            least = []
+            for t in b["text"]:
+                held = np.cumsum([0, *(CJK.match(c) is not None for c in "".join(units(t)))])
+                if len(held) > window:
+                    least.append(int((held[window:] - held[:-window]).min()))
+            yield pd.DataFrame({"least": np.asarray(least, np.int64)})
+
+    return run
+
+
 def _matches(p: Plan, by_character: bool, sent):
     """(doc_id, item_id) found by looking signatures up in the index that every task holds."""
 
@@ -236,12 +260,10 @@ def leaks(documents: DataFrame, items: DataFrame, edits: int = 0, recall: float
     found = []
     if (u := _unit(docs.where(F.length("text") >= 2 * words - 1), tests.where("NOT chars").select("item_id", "text").coalesce(1), plan(words, edits, recall), False, most_sent)) is not None:
         found.append(u)
-    # a window of an item without any CJK character could stand in any document
     scripted = tests.where("chars").select("item_id", "text").coalesce(1)
-    latin = r"[\x20-\x7e\s]{%d,}" % characters
-    anywhere = scripted.where(F.col("text").rlike(latin)).limit(1).count() > 0
-    ranges = r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\x{20000}-\x{3FFFF}]"
-    hosts = docs if anywhere or edits else docs.where(F.col("text").rlike(ranges))
+    # a document without any such character holds no window of an item with more of them than edits
+    least = scripted.mapInPandas(_scarcest(characters), "least long").agg(F.min("least")).first()[0]
+    hosts = docs.where(F.col("text").rlike(CJK_RANGES)) if least is not None and least > edits else docs
     if (u := _unit(hosts, scripted, plan(characters, edits, recall), True, most_sent)) is not None:
         found.append(u)
     if not found:
