@@ -270,7 +270,7 @@ CASES = [
     ("One. Two! Three? Four… Five", ["One.", "Two!", "Three?", "Four…", "Five"]),
     ("It took 3.14 ms in v. 2.5.1, i.e. fast. See Fig. 4. Then Sect. 2 ff. for more.", ["It took 3.14 ms in v. 2.5.1, i.e. fast.", "See Fig. 4.", "Then Sect. 2 ff. for more."]),
     ("Rings, maps, etc. The rest. The U.S. copy at 9 a.m. on day\n8. For this, e.g. in `a. B`.", ["Rings, maps, etc.", "The rest.", "The U.S. copy at 9 a.m. on day\n8.", "For this, e.g. in `a. B`."]),
-    ("It ends.Then more. a.b.c and src/x.rs stay.", ["It ends.", "Then more.", "a.b.c and src/x.rs stay."]),
+    ("It ends.Then more.Dept. B of io::fs. in a.b.c and src/x.rs.", ["It ends.", "Then more.", "Dept. B of io::fs.", "in a.b.c and src/x.rs."]),
     ("He said “Stop! Now.” and left. She asked, “Why?” Then it went (it did!) on. (All fine.) ok then.", ["He said “Stop! Now.” and left.", "She asked, “Why?”", "Then it went (it did!) on.", "(All fine.)", "ok then."]),
     ("so it seems ... or not. The rest is noise... Done.", ["so it seems ... or not.", "The rest is noise...", "Done."]),
     ("# Head. Line\nText\n\n- a. B\n- c\n1) x\n2) y\n\n```rust\nlet a. B\n```\nz", ["# Head.", "Line", "Text", "a.", "B", "c", "x", "y", "z"]),
