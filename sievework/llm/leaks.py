@@ -22,8 +22,8 @@ CJK_RANGES = r"[\x{2E80}-\x{2FDF}\x{3005}-\x{30FF}\x{3190}-\x{319F}\x{31F0}-\x{9
 #: Languages whose items are matched by characters, not words.
 BY_CHARACTER = ("zh", "ja")
 WORDS, CHARACTERS = 13, 30
-#: Item windows up to this number (about 120 bytes each) are sent to every task; more are joined by shuffle.
-SENT = 1_000_000
+#: Item windows up to this number (some 120 to 260 bytes each) are sent to every task; more are joined by shuffle.
+SENT = 200_000
 #: Windows that are walked at once, for the memory they take.
 BLOCK = 1 << 17
 
