@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +15,10 @@ from ..session import cut
 
 KEY = ["block", "lo", "hi", "word"]
 
+#: Where more sets than HOT share a key they are grouped by common subsets, unless a set has more than SUBSETS of those.
+HOT = 200
+SUBSETS = 2000
+
 
 def least_common(n: Column, m: Column) -> Column:
     """Common words that sets of n and m words need for more than three fifths of their union."""
@@ -40,3 +50,33 @@ def pairs(keyed: DataFrame) -> DataFrame:
     y = keyed.where("n = hi").select(*KEY, F.col("cid").alias("b"), F.col("w").alias("wb"))
     met = x.join(y, KEY).where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
     return met.where(F.size(F.array_intersect("wa", "wb")) >= F.col("o")).select("a", "b").distinct()
+
+
+def crowded_apart(keyed: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(keyed sets to be paired, keyed sets whose key more than ``hot`` sets share and that have few subsets)."""
+    crowded = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select(*KEY)
+    few = (ways(F.col("lo"), F.col("o")) <= SUBSETS) & (ways(F.col("hi"), F.col("o")) <= SUBSETS)
+    sparse = keyed.where(few).join(crowded, KEY, "left_anti").unionByName(keyed.where(~few))
+    return sparse, keyed.where(few).join(crowded, KEY, "left_semi")
+
+
+def subset_members(dense: DataFrame) -> DataFrame:
+    """(block, lo, hi, key, cid, n): each set once for each subset of o words, key being the subset's hash.
+
+    In a group of equal (block, lo, hi, key) every set of lo words is similar to every set of hi
+    words, and similar sets of a (lo, hi) share a group, so the groups hold all pairs in a size
+    linear in the sets.
+    """
+    picked = dense.select("cid", "block", "w", "n", "o", "lo", "hi").dropDuplicates(["cid", "lo", "hi"])
+    return picked.mapInPandas(_subsets, "cid long, lo int, hi int, n int, block string, keys array<long>").withColumn("key", F.explode("keys")).drop("keys")
+
+
+def _subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"cid": b["cid"], "lo": b["lo"], "hi": b["hi"], "n": b["n"], "block": b["block"], "keys": [[xxhash.xxh3_64_intdigest("\0".join(s)) - 2**63 for s in combinations(sorted(w), o)] for w, o in zip(b["w"], b["o"])]})
+
+
+def ways(n: Column, k: Column) -> Column:
+    """Ways to choose k of n, from a table for n up to 40; beyond that more than any limit, unless k is n."""
+    table = F.create_map(*[F.lit(v) for n_ in range(41) for k_ in range(n_ + 1) for v in (n_ * 100 + k_, float(comb(n_, k_)))])
+    return F.when(n == k, 1.0).when(n <= 40, F.element_at(table, n * 100 + k)).otherwise(1e18)

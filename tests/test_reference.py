@@ -75,7 +75,9 @@ def test_fuzzy_is_greedy_best_first(spark):
 
     rng, names = random.Random(3), "abcdefg"
     rows = [("e", "protocol", " ".join(rng.sample(names, rng.randint(0, 6))), rng.choice(["high", "low", "medium"]), "x" * rng.randint(0, 5)) for _ in range(150)]
-    got = {r.id for r in dedup.fuzzy(dedup.weighed(findings(spark, *rows))).collect()}
+    weighed = dedup.weighed(findings(spark, *rows)).cache()
+    got = {r.id for r in dedup.fuzzy(weighed).collect()}
+    assert got == {r.id for r in dedup.fuzzy(weighed, hot=1).collect()}  # by common subsets
     rank = {"high": 3, "medium": 2, "low": 1}
     kept = []
     for i, r in sorted(enumerate(rows, 1), key=lambda x: (-rank[x[1][3]], -len(x[1][4]), x[0])):
