@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-from math import comb
-
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled, letters_digits, strip, words
-from ..operators.similarity import KEY, keyed_sets, pairs
+from ..operators.similarity import HOT, crowded_apart, keyed_sets, pairs, subset_members
 from ..session import cut
 from .components import components
 
@@ -21,10 +15,6 @@ STATED = ("high", "medium", "low", "med")
 TRUST = {"validator": 3, "detector": 2, "imported": 1}
 SECTIONS = "entity|states|transitions|evidence|implementation"
 
-#: Posting lists longer than this are linked through common subsets, if a class has no more of those than SUBSETS.
-HOT = 200
-SUBSETS = 2000
-
 
 def filled_sections(explanation: Column) -> Column:
     """How many of the five sections hold more than nothing or a stand-in."""
@@ -42,11 +32,6 @@ def _classes(findings: DataFrame) -> DataFrame:
     return base.withColumn("cls", F.md5(F.concat_ws("\0", F.col("block"), F.col("w"))))
 
 
-def _subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"cid": b["cid"], "lo": b["lo"], "hi": b["hi"], "n": b["n"], "block": b["block"], "keys": [[xxhash.xxh3_64_intdigest("\0".join(s)) - 2**63 for s in combinations(sorted(w), o)] for w, o in zip(b["w"], b["o"])]})
-
-
 def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): word sets of one block of which more than three fifths is common, enough of them to chain all that are.
 
@@ -54,25 +39,14 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     linked to its smallest holder of the lesser length, so that links grow with the sets and not
     with their pairs. Only sets too long for that are joined pair by pair, which Spark splits.
     """
-    keyed, key = keyed_sets(classes), KEY
-    crowded = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select(*key)
-    few = (_comb(F.col("lo"), F.col("o")) <= SUBSETS) & (_comb(F.col("hi"), F.col("o")) <= SUBSETS)
-    dense = keyed.where(few).join(crowded, key, "left_semi")
-    sparse = keyed.where(few).join(crowded, key, "left_anti").unionByName(keyed.where(~few))
-    picked = dense.select("cid", "block", "w", "n", "o", "lo", "hi").dropDuplicates(["cid", "lo", "hi"])
-    shared = picked.mapInPandas(_subsets, "cid long, lo int, hi int, n int, block string, keys array<long>").withColumn("key", F.explode("keys"))
+    sparse, dense = crowded_apart(keyed_sets(classes), hot)
+    shared = subset_members(dense)
     group = ["block", "lo", "hi", "key"]
     centre = shared.where("n = lo").groupBy(*group).agg(F.min("cid").alias("b"))
     stars = shared.join(centre, group).where("cid <> b").select(F.col("cid").alias("a"), "b")
     return pairs(sparse).unionByName(stars).distinct()
 
 
-def _comb(n: Column, k: Column) -> Column:
-    """Ways to choose k of n, from a table for n up to 40; beyond that more than any limit, unless k is n."""
-    table = F.create_map(*[F.lit(v) for n_ in range(41) for k_ in range(n_ + 1) for v in (n_ * 100 + k_, float(comb(n_, k_)))])
-    return F.when(n == k, 1.0).when(n <= 40, F.element_at(table, n * 100 + k)).otherwise(1e18)
-
-
 def duplicate_groups(findings: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(findings with their class, (cls, group_id) of the classes in groups of two or more findings)."""
     rows = _classes(findings)
