@@ -31,26 +31,28 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Plan(NamedTuple):
-    """How windows of one unit are embedded: length, repetitions, sampled places a repetition."""
+    """How windows of one unit are embedded: length, repetitions, sampled places a repetition; symbols by which a document's passage may be shorter or longer."""
 
     window: int
     tables: int
     samples: int
     edits: int
+    spare: int = 0
 
 
-def plan(window: int, edits: int, recall: float) -> Plan:
+def plan(window: int, edits: int, recall: float, shifts: bool = False) -> Plan:
     """Repetitions for the target recall.
 
     Equal windows walk alike, so one repetition finds them all. With k edits about 5k of the 3n
     places of the embedding are taken to differ (the random walks meet again after a few steps);
-    the chance that no sampled place does then fixes the number of repetitions.
+    the chance that no sampled place does then fixes the number of repetitions. With ``shifts``,
+    where a symbol may be missing, 8.5k are taken: what the worst quarter of a window showed.
     """
     if edits == 0:
         return Plan(window, 1, min(16, window), 0)
     samples = max(4, window // 2)
-    hit = (1 - min(0.75, 5 * edits / (3 * window))) ** samples
-    return Plan(window, math.ceil(math.log(1 - recall) / math.log(1 - hit)), samples, edits)
+    hit = (1 - min(0.75, (8.5 if shifts else 5) * edits / (3 * window))) ** samples
+    return Plan(window, math.ceil(math.log(1 - recall) / math.log(1 - hit)), samples, edits, edits if shifts else 0)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -61,8 +63,8 @@ def _scramble(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def signatures(ids: np.ndarray, starts: np.ndarray, p: Plan) -> np.ndarray:
-    """(windows, tables): hashes of sampled places of each window's CGK embedding.
+def signatures(ids: np.ndarray, starts: np.ndarray, p: Plan, ends: np.ndarray | None = None) -> np.ndarray:
+    """(windows, tables): hashes of sampled places of each window's CGK embedding; windows end at ``ends``, else after n symbols.
 
     The embedding of n symbols has 3n places: a walk writes its symbol at each and steps on by a
     random bit of (place, symbol), so that windows a few edits apart agree at most places.
@@ -75,7 +77,7 @@ def signatures(ids: np.ndarray, starts: np.ndarray, p: Plan) -> np.ndarray:
             sampled = set(rng.choice(2 * n, p.samples, replace=False).tolist())
             seed = np.uint64(t * 1_000_003 + 17)
             bits = [_scramble(ids + (seed + np.uint64(w) * np.uint64(7919)) * _MIX) for w in range(-(-places // 64))]
-            at, end, acc = starts.copy(), starts + n, np.zeros(len(starts), np.uint64)
+            at, end, acc = starts.copy(), starts + n if ends is None else ends, np.zeros(len(starts), np.uint64)
             for j in range(max(sampled) + 1):
                 inside = at < end
                 i = np.where(inside, at, starts)
@@ -109,6 +111,35 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     return out
 
 
+def holds(a: np.ndarray, length: np.ndarray, b: np.ndarray, p: Plan) -> np.ndarray:
+    """Whether each row of a begins with a passage of b's row, within the edits; only ``length`` symbols of a's row count.
+
+    The passage may be up to ``spare`` symbols shorter or longer than b's row.
+    """
+    if p.spare == 0:
+        return within_edits(a, b, p.edits)
+    n = p.window
+    if p.edits == 1:
+        here = a[:, :n] == b
+        lead = here.cumprod(axis=1).sum(axis=1)
+        trail = lambda same: same[:, ::-1].cumprod(axis=1).sum(axis=1)
+        changed = (length >= n) & (here.sum(axis=1) >= n - 1)
+        missing = (length >= n - 1) & (lead + trail(a[:, : n - 1] == b[:, 1:]) >= n - 1)
+        added = (length >= n + 1) & (lead + trail(a[:, 1 : n + 1] == b) >= n)
+        return changed | missing | added
+    out, rest, x, y, wide = np.zeros(len(a), bool), np.arange(len(a)), a, b, a.shape[1]
+    row = np.tile(np.arange(wide + 1, dtype=np.int16), (len(a), 1))
+    for i in range(1, n + 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        for j in range(1, wide + 1):
+            new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + (y[:, i - 1] != x[:, j - 1]))
+        live = new.min(axis=1) <= p.edits
+        rest, x, y, row = rest[live], x[live], y[live], new[live]
+    out[rest] = ((row <= p.edits) & (np.arange(wide + 1) <= length[rest, None])).any(axis=1)
+    return out
+
+
 def units(text: str) -> list[str]:
     """The words that count: compatibility forms, case, marks and what cannot be seen are levelled."""
     return WORD.findall(UNSEEN.sub("", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())))
@@ -136,28 +167,37 @@ def symbols(texts: list[str], by_character: bool, cache: _Symbols) -> tuple[np.n
 
 
 def _starts(ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, start) of every window."""
+    """(text number, start) of every window of at least this length."""
     counts = np.maximum(np.diff(ends) - window + 1, 0)
     owner = np.repeat(np.arange(len(counts)), counts)
     first = np.repeat(ends[:-1] - np.cumsum(counts) + counts, counts)
     return owner, first + np.arange(counts.sum())
 
 
-def _windows(key: str, p: Plan, by_character: bool):
-    """Rows (key, table, signature, symbols) of every window of every text."""
+def _passages(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray, wide: int) -> np.ndarray:
+    """(windows, wide): the symbols from each start on; behind a text's end its last one again."""
+    return ids[np.minimum(starts[:, None] + np.arange(wide), stops[:, None] - 1)]
+
+
+def _windows(key: str, p: Plan, by_character: bool, spare: int = 0):
+    """Rows (key, table, signature, symbols) of every window of every text.
+
+    With ``spare``, windows are so much longer, or at a text's end so much shorter.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Symbols()
         for b in batches:
             ids, ends = symbols(b["text"].tolist(), by_character, cache)
-            owner, starts = _starts(ends, p.window)
+            owner, starts = _starts(ends, p.window - spare)
             for k in range(0, len(starts), BLOCK // 4):
                 s, o = starts[k : k + BLOCK // 4], owner[k : k + BLOCK // 4]
-                sig = signatures(ids, s, p)
-                own = ids[s[:, None] + np.arange(p.window)].view(np.int64)
+                stops = np.minimum(s + p.window + spare, ends[o + 1])
+                sig = signatures(ids, s, p, np.minimum(s + p.window, stops))
+                own = [w[:n] for w, n in zip(_passages(ids, s, stops, p.window + spare).view(np.int64), stops - s)]
                 keys = b[key].to_numpy()[o]
                 for t in range(p.tables):
-                    yield pd.DataFrame({key: keys, "tab": np.int32(t), "sig": sig[:, t], "own": list(own)})
+                    yield pd.DataFrame({key: keys, "tab": np.int32(t), "sig": sig[:, t], "own": own})
 
     return run
 
@@ -187,10 +227,11 @@ def _matches(p: Plan, by_character: bool, sent):
             found: set[tuple] = set()
             docs = b["doc_id"].to_numpy()
             ids, ends = symbols(b["text"].tolist(), by_character, cache)
-            owner, starts = _starts(ends, p.window)
+            owner, starts = _starts(ends, p.window - p.spare)
             for k in range(0, len(starts), BLOCK):
                 s, o = starts[k : k + BLOCK], owner[k : k + BLOCK]
-                sig = signatures(ids, s, p)
+                stops = np.minimum(s + p.window + p.spare, ends[o + 1])
+                sig = signatures(ids, s, p, np.minimum(s + p.window, stops))
                 for t, (sorted_sig, row) in enumerate(tables):
                     low = np.searchsorted(sorted_sig, sig[:, t], "left")
                     near = np.flatnonzero(sorted_sig[np.minimum(low, len(sorted_sig) - 1)] == sig[:, t])
@@ -202,7 +243,8 @@ def _matches(p: Plan, by_character: bool, sent):
                         at = row[low + step]
                         for c in range(0, len(near), BLOCK):
                             part = slice(c, c + BLOCK)
-                            ok = within_edits(ids[s[near[part], None] + np.arange(p.window)], own[at[part]], p.edits)
+                            x, z = s[near[part]], stops[near[part]]
+                            ok = holds(_passages(ids, x, z, p.window + p.spare), z - x, own[at[part]], p)
                             found.update(zip(docs[o[near[part][ok]]].tolist(), items[at[part][ok]].tolist()))
                         step += 1
             yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"], dtype="int64")
@@ -210,6 +252,19 @@ def _matches(p: Plan, by_character: bool, sent):
     return run
 
 
+def _held(p: Plan):
+    """(doc_id, item_id) of the proposed pairs of windows that hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                length = b["own"].str.len().to_numpy()
+                flat, starts = np.concatenate(b["own"].tolist()), np.cumsum(length) - length
+                yield b.loc[holds(_passages(flat, starts, starts + length, p.window + p.spare), length, np.stack(b["other"]), p), ["doc_id", "item_id"]]
+
+    return run
+
+
 def _unit(docs: DataFrame, items: DataFrame, p: Plan, by_character: bool, most_sent: int) -> DataFrame | None:
     spark = docs.sparkSession
     index = items.mapInPandas(_windows("item_id", p, by_character), "item_id long, tab int, sig long, own array<long>").persist()
@@ -218,13 +273,12 @@ def _unit(docs: DataFrame, items: DataFrame, p: Plan, by_character: bool, most_s
         if n == 0:
             return None
         if n > most_sent:
-            mine = docs.mapInPandas(_windows("doc_id", p, by_character), "doc_id long, tab int, sig long, own array<long>")
+            mine = docs.mapInPandas(_windows("doc_id", p, by_character, p.spare), "doc_id long, tab int, sig long, own array<long>")
             theirs = items.mapInPandas(_windows("item_id", p, by_character), "item_id long, tab int, sig long, own array<long>").withColumnRenamed("own", "other")
             pairs = mine.join(theirs, ["tab", "sig"])
             if p.edits == 0:
                 return pairs.where("own = other").select("doc_id", "item_id").distinct()
-            check = lambda bs: (b.loc[within_edits(np.stack(b["own"]), np.stack(b["other"]), p.edits), ["doc_id", "item_id"]] for b in bs if len(b))
-            return pairs.select("doc_id", "item_id", "own", "other").distinct().mapInPandas(check, "doc_id long, item_id long").distinct()
+            return pairs.select("doc_id", "item_id", "own", "other").distinct().mapInPandas(_held(p), "doc_id long, item_id long").distinct()
         rows = index.toPandas()
     finally:
         index.unpersist()
@@ -241,14 +295,15 @@ def _unit(docs: DataFrame, items: DataFrame, p: Plan, by_character: bool, most_s
     return docs.mapInPandas(_matches(p, by_character, spark.sparkContext.broadcast((which, tables, own))), "doc_id long, item_id long").distinct()
 
 
-def leaks(documents: DataFrame, items: DataFrame, edits: int = 0, recall: float = 0.99, words: int = WORDS, characters: int = CHARACTERS, most_sent: int = SENT) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, edits: int = 0, recall: float = 0.99, words: int = WORDS, characters: int = CHARACTERS, most_sent: int = SENT, shifts: bool = False) -> DataFrame:
     """(doc_id, item_id): the text holds a passage of the item, of ``words`` words or, for zh and ja, ``characters`` characters.
 
     Every window of that size, of items and of documents alike, goes through a CGK embedding, whose
     random walk turns edit distance into Hamming distance; hashes of sampled places propose pairs
     of windows, and an exact edit distance of at most ``edits`` symbols decides. With no edits one
     repetition proposes all equal windows, so nothing is missed; with more, repetitions are added
-    for the target ``recall``. Case, punctuation, markup signs, line breaks, invisible characters,
+    for the target ``recall``. A document's passage is as long as the item's, unless ``shifts``: then
+    it may be up to ``edits`` symbols shorter or longer, so that a symbol can be missing or added. Case, punctuation, markup signs, line breaks, invisible characters,
     marks and compatibility forms do not count. Whole texts are walked, in blocks.
 
     The item windows are counted first: up to ``most_sent`` they are sent to all tasks and no
@@ -258,13 +313,14 @@ def leaks(documents: DataFrame, items: DataFrame, edits: int = 0, recall: float
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tests = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce("lang", F.lit("")).isin(*BY_CHARACTER).alias("chars"))
     found = []
-    if (u := _unit(docs.where(F.length("text") >= 2 * words - 1), tests.where("NOT chars").select("item_id", "text").coalesce(1), plan(words, edits, recall), False, most_sent)) is not None:
+    by_word = plan(words, edits, recall, shifts)
+    if (u := _unit(docs.where(F.length("text") >= 2 * (words - by_word.spare) - 1), tests.where("NOT chars").select("item_id", "text").coalesce(1), by_word, False, most_sent)) is not None:
         found.append(u)
     scripted = tests.where("chars").select("item_id", "text").coalesce(1)
     # a document without any such character holds no window of an item with more of them than edits
     least = scripted.mapInPandas(_scarcest(characters), "least long").agg(F.min("least")).first()[0]
     hosts = docs.where(F.col("text").rlike(CJK_RANGES)) if least is not None and least > edits else docs
-    if (u := _unit(hosts, scripted, plan(characters, edits, recall), True, most_sent)) is not None:
+    if (u := _unit(hosts, scripted, plan(characters, edits, recall, shifts), True, most_sent)) is not None:
         found.append(u)
     if not found:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long")

@@ -42,7 +42,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
     """As p6_found, but one word or character of a passage may be missing, added or changed."""
-    return _leaks(spark, d, edits=1, recall=0.95)
+    return _leaks(spark, d, edits=1, recall=0.95, shifts=True)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -223,6 +223,44 @@ def test_recall_of_passages_with_an_edit(spark):
     assert got <= true and len(got) >= 0.9 * len(true) and len(true) > 30
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_recall_of_passages_with_a_word_or_character_missing_added_or_changed(spark, most):
+    rng = random.Random(6)
+    kinds = {"missing": lambda w, k, new: w[:k] + w[k + 1 :], "changed": lambda w, k, new: w[:k] + [new] + w[k + 1 :], "added": lambda w, k, new: w[:k] + [new] + w[k:]}
+    texts, tests, kind_of = [], [], []
+    for i in range(180):
+        lang, n = ("zh", 30) if i % 6 > 2 else ("en", 13)
+        w = [chr(rng.randint(0x4E00, 0x9000)) for _ in range(n)] if lang == "zh" else [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+        kind, join = list(kinds)[i % 3], "" if lang == "zh" else " "
+        tests.append((join.join(w), lang))
+        edited = join.join(kinds[kind](w, rng.randrange(1, n - 1), "新" if lang == "zh" else "new"))
+        texts.append(edited if i < 36 else f"lead in {edited} and out")
+        kind_of.append((lang, kind))
+    got = pairs(leaks.leaks(docs(spark, *texts), items(spark, *tests), edits=1, recall=0.95, most_sent=most, shifts=True))
+    assert all(a == b for a, b in got)
+    for x in set(kind_of):
+        assert sum(kind_of[a - 1] == x for a, _ in got) >= 0.9 * kind_of.count(x), x
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_passages_that_hold(edits):
+    rng = np.random.default_rng(3)
+    n, p = 7, leaks.Plan(7, 1, 4, edits, edits)
+    a, b, length = rng.integers(0, 2, (600, n + edits)), rng.integers(0, 2, (600, n)), rng.integers(n - edits, n + edits + 1, 600)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, e in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        return row[-1]
+
+    want = [any(distance(x[:m], y) <= edits for m in range(n - edits, z + 1)) for x, y, z in zip(a.tolist(), b.tolist(), length)]
+    assert leaks.holds(a, length, b, p).tolist() == want and 20 < sum(want) < 580
+
+
 # --- 7: mixture
 
 
