@@ -401,9 +401,9 @@ def programs_without_report(s, d):
 
 @query("SELECT file_id, 'report' || lpad(CAST(row_number() OVER (PARTITION BY crate_name ORDER BY written_at NULLS FIRST, file_id) AS VARCHAR), 3, '0') || '.json' AS file_name FROM report_files")
 def report_names(s, d):
-    """Each report's name by its place in its crate."""
+    """Each report's name by its place in its crate, of three digits or more; the SQL's lpad cuts places over 999."""
     r = table(s, d, "report_files").select("file_id", "crate_name", "written_at")
-    return order.numbered(r, ["crate_name"], "written_at", "file_id").select("file_id", F.concat(F.lit("report"), F.lpad(F.col("seq").cast("string"), 3, "0"), F.lit(".json")).alias("file_name"))
+    return order.numbered(r, ["crate_name"], "written_at", "file_id").select("file_id", F.format_string("report%03d.json", "seq").alias("file_name"))
 
 
 @query(rf"""SELECT run_id, CAST(list_position(['temporal_ordering', 'resource_lifecycle', 'state_machine', 'precondition', 'protocol'], {KIND}) AS INTEGER) AS section, id,

@@ -55,6 +55,13 @@ def test_region_merge(spark):
     assert sorted((r.path, r.line_start, r.line_end, r.weight) for r in regions.merged(rows).collect()) == [("a", 5, 25, 0.8), ("a", 45, 60, 0.6), ("b", 1, 8, None)]
 
 
+def test_report_names_of_over_a_thousand_reports(spark, tmp_path):
+    spark.range(1, 1013).select(F.col("id").alias("file_id"), F.lit("c").alias("crate_name"), F.timestamp_seconds("id").alias("written_at")).write.parquet(f"{tmp_path}/report_files.parquet")
+    names = {r.file_id: r.file_name for r in entry.queries()["report_names"](spark, str(tmp_path)).collect()}
+    assert len(set(names.values())) == 1012
+    assert [names[i] for i in (7, 100, 999, 1000, 1012)] == ["report007.json", "report100.json", "report999.json", "report1000.json", "report1012.json"]
+
+
 FOUND = "id long, entity string, invariant_type string, title string, confidence string, evidence struct<code_snippet string, explanation string>, rank string"
 
 
