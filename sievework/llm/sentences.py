@@ -279,14 +279,23 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
             ends = gap or nxt.isupper() or _caseless(nxt) and nxt not in "ー"
         if ends:
             add(end, 1.0)
-    # the way through the lattice
+    # the way through the lattice: of the nodes up to the last letter or digit before an end, the best, or else the latest, comes before it
     nodes.append((stop, 0.0))
     best: list[tuple[float, int]] = []
+    top, seen, last, looked = -1, 0, -1, a
     for k, (end, score) in enumerate(nodes):
-        value, via = (0.0, -1) if _ALNUM.search(text, a, end) else (float("-inf"), -1)
-        for j in range(k - 1, max(-1, k - 4), -1):
-            if best[j][0] + (0 if k - j == 1 else -1e-9) > value and _ALNUM.search(text, nodes[j][0], end):
-                value, via = best[j][0], j
+        for i in range(end - 1, looked - 1, -1):
+            if _ALNUM.match(text, i):
+                last = i
+                break
+        looked = max(looked, end)
+        while seen < k and nodes[seen][0] <= last:
+            if top < 0 or best[seen][0] + 1e-9 >= best[top][0]:
+                top = seen
+            seen += 1
+        value, via = (0.0, -1) if last >= 0 else (float("-inf"), -1)
+        if top >= 0 and best[top][0] > value:
+            value, via = best[top][0], top
         best.append((value + score, via))
     out, k = [], len(nodes) - 1
     if best[k][1] >= 0 and not _ALNUM.search(text, nodes[best[k][1]][0], stop):

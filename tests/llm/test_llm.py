@@ -330,6 +330,12 @@ def test_sentences(text, want):
     assert [re.sub(r"^(?:// |[-#] )", "", x) if not x.startswith("# ") else x for x in cut(text)] == want
 
 
+@pytest.mark.parametrize("marks", ["! ! ! ! ! ! ! !", "? ! ? ! ? ! ? ! ? !"])
+def test_many_marks_in_a_row_keep_the_sentences_before(marks):
+    assert [x.split()[0] for x in cut(f"One here. Two there. Three {marks} Four it is.")] == ["One", "Two", "Three", "Four"]
+    assert [x.split()[0] for x in cut(f"One here. Two there. Three {marks}")] == ["One", "Two", "Three"]
+
+
 def test_sentences_cover_each_text():
     rng = random.Random(7)
     alphabet = "aB1 .!?…\n\"“”()（）「」。`*-#>/:,;éЖ中ก​"
