@@ -116,7 +116,7 @@ def repeated(messages: DataFrame, key: Column | None = None, order: str = "deliv
     """The ``order`` value of every row that repeats an earlier message.
 
     The rows are taken as ``batches`` consecutive batches by ``order``, as they arrived, each
-    against the index of those before; of a message the row with the smallest ``order`` is
+    against the index of those before, whose runs are merged after every third; of a message the row with the smallest ``order`` is
     kept. ``order`` must be unique; rows where it is null cannot be placed and are left out.
     Null parts of a key agree with null. Hot messages shrink to one row per task before the
     shuffle; what repeats is found by an anti-join on ``order``, which no message can skew.
@@ -126,7 +126,7 @@ def repeated(messages: DataFrame, key: Column | None = None, order: str = "deliv
     placed = messages.where(F.col(order).isNotNull())
     cuts = [i / batches for i in range(1, batches)]
     n, marks = placed.agg(F.count(order), F.percentile_approx(order, cuts, 10_000)).first()
-    index = SeenIndex(spark, n)
+    index = SeenIndex(spark, n, merge_every=2)
     if not n:
         return placed.select(order)
     edges = [None, *sorted(set(marks or [])), None]

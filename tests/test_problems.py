@@ -129,3 +129,12 @@ def test_twin_differences(spark):
     assert out == [(-1, "missing_in_mirror"), (3, "entity"), (3, "invariant_type"), (3, "location.file_path"), (4, "missing_in_mirror"), (5, "missing_in_invariants")]
     assert twins.differences(left.limit(0), right, "id", COMPARED, "invariants", "mirror").where("difference = 'missing_in_invariants'").count() == 4
     assert twins.differences(left.limit(0), right.limit(0), "id", COMPARED, "invariants", "mirror").count() == 0
+
+
+def test_runs_are_merged_before_the_last_batch(spark, monkeypatch):
+    merged, merge = [], redelivery.SeenIndex.merge
+    monkeypatch.setattr(redelivery.SeenIndex, "merge", lambda self: (merged.append(list(self.runs)), merge(self)))
+    rows = spark.range(400).select(F.col("id").alias("delivery_no"), (F.col("id") % 150).alias("m"))
+    out = redelivery.repeated(rows, key=F.col("m").cast("string"))
+    assert sorted(r.delivery_no for r in out.collect()) == list(range(150, 400))
+    assert merged == [["batch-000000000", "batch-000000001", "batch-000000002"]]
