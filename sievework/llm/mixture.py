@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.text import letters_digits
 from ..session import cut
 
-#: Where the public tokenizer's ranks lie; a path that every executor can read.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that byte-level BPE vocabularies of 50k ranks cut words by.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of one source and length are chosen bucket by bucket of their seeded hash.
@@ -38,44 +37,58 @@ def _count(path: str):
     return run
 
 
-def token_lengths(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_lengths(documents: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, source, tokens) of each document with a text; source is lower case without separators."""
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), letters_digits(F.coalesce("source", F.lit(""))).alias("source"), "text")
     return docs.mapInPandas(_count(vocabulary), "doc_id long, source string, tokens long").where("tokens > 0")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length make up ``budget`` tokens, or the most below it.
+#: Tokens of slack beyond the longest document that the knapsack gets at first, and bits that its table may take.
+SLACK, TABLE = 1000, 1 << 31
+
+
+def even_share(counts: np.ndarray, part: float) -> np.ndarray:
+    """``part`` of the documents, spread evenly over the lengths: of the documents in order of length, those where part * place passes a whole number."""
+    upto = np.floor(np.cumsum(counts) * part + 1e-9).astype(np.int64)
+    return np.diff(upto, prepend=0)
+
 
-    Each length first gives its even share, rounded down, less a few so that the rest leaves room
-    to fit; a bounded knapsack then fills what remains: bit i of an integer says whether i tokens
-    can be made, and each length joins in by halves of its remaining count, so that a length costs
-    the logarithm of its count. The way back reads the choice off the stored integers.
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length (ascending) make up ``budget`` tokens, or the most below it.
+
+    Whatever the size, every length first gives its even share of the budget. A few documents,
+    spread evenly again, are then given back, so that some tokens are open, and a bounded knapsack
+    fills those from all documents left: bit i of an integer says whether i tokens can be made,
+    and each length joins in by halves of its remaining count. The way back reads the choice off
+    the stored integers. If the open tokens cannot be made up exactly, twice as many are given
+    back, until all are or the table would take more than ``TABLE`` bits.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    took = np.floor(counts * (budget / total)).astype(np.int64)
-    order = np.argsort(lengths)
-    # room for the knapsack: all of the budget where a few documents make it up, else about a thousand tokens and the longest length
-    room, want = budget - int((took * lengths).sum()), int(lengths[order[-1]]) + 1000
-    if budget * len(lengths) <= 1 << 28:
-        want = max(want, budget)
-    for i in order:
-        if room >= want:
-            break
-        back = min(int(took[i]), -(-(want - room) // int(lengths[i])))
-        took[i] -= back
-        room += back * int(lengths[i])
-    # whole even shares of short lengths leave up to one document a length: fill greedily, longest first
-    for i in order[::-1]:
-        if room <= 2 * want:
-            break
-        more = min(int(counts[i] - took[i]), (room - 2 * want) // int(lengths[i]))
-        took[i] += more
-        room -= more * int(lengths[i])
-    items = []
-    for i in order:
+    share = even_share(counts, budget / total)
+    mean = total / int(counts.sum())
+    want, best, best_sum = int(lengths.max()) + SLACK, None, -1
+    while True:
+        held = int(share.sum())
+        over = int((share * lengths).sum()) - budget
+        back = min(held, max(1, math.ceil((want + over) / mean)))
+        took = share - even_share(share, back / held) if held else share.copy()
+        while (room := budget - int((took * lengths).sum())) < 0:  # the share of few documents may be over the budget
+            took[np.flatnonzero(took)[-1]] -= 1
+        took = _filled(lengths, counts, took, room)
+        if (reached := int((took * lengths).sum())) > best_sum:
+            best, best_sum = took, reached
+        want *= 2
+        if best_sum == budget or back == held or want * len(lengths) > TABLE:
+            return best
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, took: np.ndarray, room: int) -> np.ndarray:
+    """``took`` with documents added that make up ``room`` tokens, or the most below."""
+    took, items = took.copy(), []
+    # lengths join in mixed order, so that what is added leans to none
+    for i in np.random.default_rng(len(lengths)).permutation(len(lengths)):
         left, k = min(int(counts[i] - took[i]), room // int(lengths[i])), 1
         while left > 0:
             k_ = min(k, left)
@@ -100,6 +113,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def _fit_source(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """(source, tokens, rounds, extra): each document ``rounds`` times, and ``extra`` documents of the length once more."""
+    rows = rows.sort_values("tokens")
     lengths, counts = rows["tokens"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     budget, most = int(rows["budget"].iloc[0]), int(rows["max_repeats"].iloc[0])
     total = int((lengths * counts).sum())
@@ -114,13 +128,14 @@ def _goals(targets: DataFrame) -> DataFrame:
     return usable.groupBy(letters_digits(F.col("source")).alias("source")).agg(F.min("source").alias("name"), F.sum("target_share").alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str, total_tokens: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): the documents to take with how often, and what each source reached.
 
     A source's budget is its share of ``total_tokens``, by default all tokens of the documents
-    whose source has a target. Documents are counted by exact token length; a source is taken
+    whose source has a target. Tokens are those of the byte-level BPE whose ranks lie at
+    ``vocabulary``, a path that every executor can read. Documents are counted by exact token length; a source is taken
     whole as often as its budget holds it, up to max_repeats, and what remains of the budget is
-    fitted to the token by a bounded knapsack over the lengths. Which documents of a length are
+    given evenly over the lengths and then fitted to the token by a bounded knapsack. Which documents of a length are
     taken is decided by a seeded hash of doc_id. So no document is used more than max_repeats
     times, a source misses its budget only where it is too scarce (or no sum of its lengths fits),
     and a run can be repeated exactly.

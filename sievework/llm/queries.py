@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import leaks, mixture, pieces, sentences, survivors
 
+#: Where the ranks of the public tokenizer lie on the machines that run these queries.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "invariants"))
@@ -46,11 +49,11 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY)[1]
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY)[0]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

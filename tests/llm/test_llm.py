@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm import components, leaks, mixture, pieces, sentences, survivors
+from sievework.llm.queries import VOCABULARY
 from sievework.llm.rust_items import item_starts
 
 # --- components
@@ -279,13 +280,27 @@ def test_fit_reaches_the_best_sum(seed):
     assert (took * lengths).sum() == (reach & ((1 << budget + 1) - 1)).bit_length() - 1
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+@pytest.mark.parametrize("part", [0.07, 0.3, 0.8])
+def test_fit_takes_every_third_of_the_lengths_alike(times, part):
+    rng = np.random.default_rng(9)
+    lengths, counts = np.unique(rng.lognormal(6, 0.5, 2500).astype(int), return_counts=True)
+    counts = counts * times
+    budget = int((lengths * counts).sum() * part)
+    took = mixture.fit(lengths, counts, budget)
+    assert (took * lengths).sum() == budget and (took >= 0).all() and (took <= counts).all()
+    third = np.cumsum(counts) * 3 // (counts.sum() + 1)
+    for t in range(3):
+        assert abs(took[third == t].sum() / counts[third == t].sum() - part) < 0.03, t
+
+
 def test_mixture(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("word" for _ in range(rng.randint(1, 40))), rng.choice(["Big-Source", "big source", "big_source"]), "x") for i in range(400)]
     rows += [(1000 + i, "same text here", "hot", "x") for i in range(300)] + [(2000, "one two", "rare", "x"), (2001, None, "rare", "x"), (2002, "", "rare", "x"), (2003, "a", None, "x"), (2004, "a", "other", "x")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens string")
     t = spark.createDataFrame([("big_source", 0.5, 2), ("hot", 0.2, 1), ("rare", 0.2, 3), ("absent", 0.1, None)], "source string, target_share double, max_repeats int")
-    mix, shares = mixture.mixture(d, t, total_tokens=2000)
+    mix, shares = mixture.mixture(d, t, VOCABULARY, total_tokens=2000)
     s = {r.source: r for r in shares.collect()}
     assert set(s) == {"big_source", "hot", "rare", "absent"}
     assert s["big_source"].used_tokens == 1000 and 400 - 3 < s["hot"].used_tokens <= 400 and s["rare"].used_tokens == 3 * s["rare"].available_tokens and s["absent"].used_tokens == 0
@@ -293,8 +308,8 @@ def test_mixture(spark):
     m = mix.collect()
     assert len({r.doc_id for r in m}) == len(m) and all(r.copies <= {"big_source": 2, "hot": 1, "rare": 3}[r.source] for r in m)
     assert sum(r.copies * r.tokens for r in m) == sum(r.used_tokens for r in s.values())
-    assert sorted(tuple(r) for r in mixture.mixture(d, t, total_tokens=2000)[0].collect()) == sorted(tuple(r) for r in m)
-    assert mixture.mixture(d.limit(0), t)[0].count() == 0 and mixture.mixture(d, t.limit(0))[1].count() == 0
+    assert sorted(tuple(r) for r in mixture.mixture(d, t, VOCABULARY, total_tokens=2000)[0].collect()) == sorted(tuple(r) for r in m)
+    assert mixture.mixture(d.limit(0), t, VOCABULARY)[0].count() == 0 and mixture.mixture(d, t.limit(0), VOCABULARY)[1].count() == 0
 
 
 # --- 8: sentences
