@@ -53,12 +53,13 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_changes, p3_table, p4_found, p4_
 _KEYED = r"""
 WITH m AS (
   SELECT *, lower(regexp_replace(coalesce(status, ''), '^\s+|\s+$', '', 'g')) AS st,
+    regexp_replace(module_path, '^\s+|\s+$', '', 'g') AS mp, regexp_replace(crate_name, '^\s+|\s+$', '', 'g') AS cn,
     epoch(CAST(regexp_replace(timestamp, '\.\d+', '') AS TIMESTAMPTZ)) AS sec,
     rpad(regexp_extract(timestamp, '\.(\d+)', 1), 12, '0') AS frac
   FROM progress),
 k AS (
   SELECT *, row_number() OVER (
-    PARTITION BY run_id, message_seq, CASE WHEN message_seq IS NULL THEN concat_ws('|', coalesce(crate_name, '~'), coalesce(module_path, '~'), st, sec, frac) END
+    PARTITION BY run_id, message_seq, CASE WHEN message_seq IS NULL THEN concat_ws('|', coalesce(cn, '~'), coalesce(mp, '~'), st, sec, frac) END
     ORDER BY delivery_no) AS copy FROM m)
 """
 

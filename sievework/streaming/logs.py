@@ -32,14 +32,18 @@ def analyse_stream(spark: SparkSession, chunks: DataFrame, log: str, checkpoint:
 
 
 def once_stream(messages: DataFrame, index: SeenIndex, out: str, checkpoint: str, key: Column | None = None, order: str = "delivery_no") -> StreamingQuery:
-    """Messages of each micro-batch that no earlier one held, in ``out``, a folder a batch.
+    """Messages of each micro-batch that no earlier one held, in ``out``, a folder a batch of this query.
 
-    A batch that Spark runs again after a crash finds its own run in the index and writes its
-    folder anew, so nothing is lost or doubled.
+    ``order`` is unique to each delivery, so that a message that is delivered again has another.
+    The index knows the row each message was first seen in, so a batch that Spark runs again after
+    a crash writes the same folder anew, and nothing is lost or doubled. A query with a new
+    checkpoint writes folders of its own: rows that it delivers again are those it has read again.
     """
+    told = checkpoint.rstrip("/").rpartition("/")[2]
 
     def batch(rows: DataFrame, number: int) -> None:
-        kept = index.add(rows, message_key() if key is None else key, order, number)
-        rows.join(kept, order, "left_semi").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        index.sweep()
+        kept = index.add(rows, message_key() if key is None else key, order)
+        rows.join(kept, order, "left_semi").write.mode("overwrite").parquet(f"{out}/query={told}/batch={number}")
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

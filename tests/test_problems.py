@@ -74,7 +74,7 @@ ROWS = [
     ("r", "c", 1, "m", "completed", "2025-02-03T06:00:00.123456789+00:00"),
     ("r", "c", 1, "other", "failed", None),  # same sequence number
     ("r", "c", None, "m", "Completed ", "2025-02-03T05:00:00.123456789-01:00"),
-    ("r", "c", None, "m", "completed", "2025-02-03 06:00:00.123456789Z"),  # the same instant
+    ("r", "c", None, " m\t", "completed", "2025-02-03 06:00:00.123456789Z"),  # the same instant
     ("r", "c", None, "m", "completed", "2025-02-03T06:00:00.123456788Z"),  # a nanosecond earlier
     ("q", "c", 1, "m", "completed", None),
     (None, None, None, None, None, None),
@@ -108,15 +108,35 @@ def test_no_messages(spark):
     assert redelivery.repeated(progress(spark, *ROWS).limit(0)).count() == 0
 
 
+def added(spark, index, *ks):
+    return sorted(r[0] for r in index.add(spark.createDataFrame(list(ks), "delivery_no long, k string"), F.col("k"), "delivery_no").collect())
+
+
 def test_an_index_goes_on_where_it_was(spark, tmp_path):
-    rows = lambda *ks: spark.createDataFrame([(i, k) for i, k in ks], "delivery_no long, k string")
-    first = redelivery.SeenIndex(spark, 100, merge_every=1, path=str(tmp_path / "i"))
-    add = lambda index, n, *ks: sorted(r[0] for r in index.add(rows(*ks), F.col("k"), "delivery_no", n).collect())
-    assert add(first, 0, (1, "a"), (2, "a"), (3, "b")) == [1, 3]
-    assert add(first, 1, (4, "b"), (5, "c")) == [5]
-    again = redelivery.SeenIndex(spark, 100, path=str(tmp_path / "i"))
-    assert add(again, 1, (4, "b"), (5, "c")) == [5]  # the batch that was there gives what it gave
-    assert add(again, 2, (6, "c"), (7, "a"), (8, "d")) == [8]
+    at = str(tmp_path / "i")
+    first = redelivery.SeenIndex(spark, 8_000_000, merge_every=2, path=at)
+    assert added(spark, first, (1, "a"), (2, "a"), (3, "b")) == [1, 3]
+    assert added(spark, first, (4, "b"), (5, "c")) == [5]
+    again = redelivery.SeenIndex(spark, 100_000_000, merge_every=2, path=at)  # another expectation does not move what is there
+    assert again.bits == first.bits
+    assert added(spark, again, (4, "b"), (5, "c")) == [5]  # a batch that comes again gives what it gave
+    assert added(spark, again, (6, "c"), (7, "a"), (8, "d")) == [8]
+    again.sweep()
+    assert len(again.runs) < 4 and set(again.files.names()) == {"manifest.json", *again.runs}
+    assert added(spark, redelivery.SeenIndex(spark, 1, path=at), (9, "new"), (10, "d")) == [9]  # whatever number it has
+
+
+def test_an_index_splits_its_arrays_as_it_grows(spark, tmp_path):
+    index, seen = redelivery.SeenIndex(spark, 10, per_array=8, merge_every=2, path=str(tmp_path / "i")), set()
+    for i in range(5):
+        keys = [(1000 * i + j, str((i * 53 + j * 7) % 700)) for j in range(200)]
+        want = []
+        for n, k in keys:
+            if k not in seen:
+                seen.add(k)
+                want.append(n)
+        assert added(spark, index, *keys) == want
+    assert index.bits > 4 and len(index.runs) < 5
 
 
 FINDING = "id long, location struct<file_path string, line_start long>, entity string, invariant_type string, f0 string, side string"
@@ -131,10 +151,10 @@ def test_twin_differences(spark):
     assert twins.differences(left.limit(0), right.limit(0), "id", COMPARED, "invariants", "mirror").count() == 0
 
 
-def test_runs_are_merged_before_the_last_batch(spark, monkeypatch):
-    merged, merge = [], redelivery.SeenIndex.merge
-    monkeypatch.setattr(redelivery.SeenIndex, "merge", lambda self: (merged.append(list(self.runs)), merge(self)))
+def test_runs_are_merged_in_the_registered_query(spark, monkeypatch):
+    made, init = [], redelivery.SeenIndex.__init__
+    monkeypatch.setattr(redelivery.SeenIndex, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
     rows = spark.range(400).select(F.col("id").alias("delivery_no"), (F.col("id") % 150).alias("m"))
     out = redelivery.repeated(rows, key=F.col("m").cast("string"))
     assert sorted(r.delivery_no for r in out.collect()) == list(range(150, 400))
-    assert merged == [["batch-000000000", "batch-000000001", "batch-000000002"]]
+    assert [i._span(n) for i in made for n in i.runs] == [(0, 1), (2, 2), (3, 3)]

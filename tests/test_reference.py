@@ -198,7 +198,12 @@ def test_messages_once_in_a_stream(spark, tmp_path):
     rows = lambda a, b: spark.createDataFrame([(i, str(i % 5)) for i in range(a, b)], "delivery_no long, k string")
     index = SeenIndex(spark, 100, path=str(tmp_path / "index"))
     stream = lambda: spark.readStream.schema("delivery_no long, k string").json(str(tmp_path / "in"))
-    for a in (0, 3):
+    for a in (0, 6):
         rows(a, a + 6).write.mode("append").json(str(tmp_path / "in"))
         logs.once_stream(stream(), index, str(tmp_path / "out"), str(tmp_path / "k"), F.col("k")).awaitTermination()
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["0", "1", "2", "3", "4"]
+    kept = lambda: sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert kept() == ["0", "1", "2", "3", "4"]
+    rows(100, 102).select(F.col("delivery_no"), F.concat(F.lit("new"), "k").alias("k")).write.json(str(tmp_path / "in2"))
+    other = spark.readStream.schema("delivery_no long, k string").json(str(tmp_path / "in2"))
+    logs.once_stream(other, index, str(tmp_path / "out"), str(tmp_path / "k2"), F.col("k")).awaitTermination()  # its batch 0 is another
+    assert kept() == ["0", "1", "2", "3", "4", "new0", "new1"]
