@@ -1,4 +1,4 @@
-"""JSON reports whose schema drifts from file to file: one table, and every change."""
+"""JSON reports whose schema drifts from file to file: one table, every change, and every alternative."""
 
 from __future__ import annotations
 
@@ -7,44 +7,26 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .order import numbered
+from . import order
 
 #: The layout that reports are brought to.
 SUMMARY = ("total_invariants", "temporal_ordering_count", "resource_lifecycle_count", "state_machine_count", "precondition_count", "protocol_count", "modules_analyzed")
 ENTRY = ("id", "invariant_type", "title", "location", "confidence", "entity")
-#: Words of a name that say how it counts or classes, not what; and short forms.
-FILLER = {"n", "nr", "no", "num", "number", "of", "count", "counts", "cnt", "total", "by", "type", "types", "kind"}
-SHORT = {"fsm": ("state", "machine"), "sm": ("state", "machine"), "inv": ("invariant",)}
-CLASS_WORDS = {"invariant", "type", "kind", "category", "class"}
+PLACE = ("file_path", "line_start", "line_end")
+LAYOUT = {"summary": SUMMARY, "invariants": tuple(f for f in ENTRY if f != "location")}
+#: A name stands for a field of the layout only if at most this part of its reports holds the field as well ...
+TOGETHER = 0.05
+#: ... and at least this part of the field's moves, or of the reports without it, speaks for the name. So at most a thousand names a field are fused.
+SUPPORT = 0.001
 
-FIELD = "struct<scope string, field string, path string, type string>"
-#: Rows of one crate and field that are put in order within one task.
-SPAN = 4096
+#: Reports of the whole table in one block of the order, about.
+SPAN = order.SPAN
 
-
-def _tokens(name: str) -> set[str]:
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name)
-    found = [w for w in re.split(r"[^a-z0-9]+", spaced.lower()) if w]
-    return {x for w in found for x in SHORT.get(w, (w,))}
-
-
-def _summary_field(path: str) -> str | None:
-    """The layout's name that a drifted name or level stands for."""
-    core = _tokens(path) - FILLER
-    if core:
-        for name in SUMMARY:
-            if core <= _tokens(name) - FILLER:
-                return name
-    return None
-
-
-def _entry_field(path: str) -> str | None:
-    t = _tokens(path)
-    return "invariant_type" if t <= CLASS_WORDS and t != {"invariant"} else None
+PATH = "struct<scope string, path string, type string>"
 
 
 def _type(v: object) -> str | None:
@@ -67,142 +49,279 @@ def _leaves(value: object, path: str = "") -> Iterator[tuple[str, object]]:
         yield path, value
 
 
-def _placed(pairs: list[tuple[str, object]], layout: tuple[str, ...], guess) -> dict[str, tuple[str, object]]:
-    """Field -> (path where it was found, value). A name of the layout holds its own place; another name takes a free one."""
-    out = {p: (p, v) for p, v in pairs if p in layout}
-    for p, v in pairs:
-        if p not in layout:
-            name = guess(p)
-            out.setdefault(name if name and name not in out else p, (p, v))
-    return out
-
-
 def _never(text: str) -> None:
     raise ValueError(text)
 
 
-def _branch(v: object) -> dict:
-    """A value with its typed branch and what the layout makes of it."""
-    kind, value = _type(v), None
-    if kind in ("whole", "decimal"):
-        value = int(v)
-    elif kind == "list":
-        value = len(v)
-    elif kind == "text" and re.fullmatch(r"\s*-?\d{1,18}\s*", v):
-        value = int(v)
-    return {"value": value, "branch": kind, "raw": None if v is None else json.dumps(v, ensure_ascii=False)}
-
-
-def read_report(payload: str | None) -> tuple[bool, int, list[tuple], str | None]:
-    """(readable, number of entries, fields, the report in the layout as JSON) of one payload."""
+def loaded(payload: str | None) -> dict | None:
+    """The report, or None for what is null, no valid JSON or no object."""
     try:
         report = json.loads(payload or "", parse_constant=_never)
     except (ValueError, RecursionError):
-        return False, 0, [], None
-    if not isinstance(report, dict):
-        return False, 0, [], None
-    summary = report.get("summary") if isinstance(report.get("summary"), dict) else {}
-    entries = [x for x in report.get("invariants") or [] if isinstance(x, dict)] if isinstance(report.get("invariants"), list) else []
-    pairs = list(_leaves(summary))
-    pairs += [(p, v) for p, v in _leaves({k: v for k, v in report.items() if k not in ("summary", "invariants", "parse_failures")}) if _summary_field(p)]
-    top = _placed(pairs, SUMMARY, _summary_field)
-    fields = [("summary", f, p, _type(v)) for f, (p, v) in top.items()]
-    merged: dict[str, tuple[str, set]] = {}
-    rows = []
-    for e in entries:
-        own = _placed([(p, v) for p, v in _leaves({k: v for k, v in e.items() if k != "location"})], ENTRY, _entry_field)
-        for f, (p, v) in own.items():
-            merged.setdefault(f, (p, set()))[1].add(_type(v))
-        row = {f: own[f][1] if f in own else None for f in ENTRY if f != "location"}
-        at = e.get("location") if isinstance(e.get("location"), dict) else {}
-        kind = row["invariant_type"]
-        row["invariant_type"] = {"value": kind if isinstance(kind, str) else kind[0] if isinstance(kind, list) and kind and isinstance(kind[0], str) else None, **{k: v for k, v in _branch(kind).items() if k != "value"}}
-        rows.append(row | {"location": {k: at.get(k) for k in ("file_path", "line_start", "line_end")}})
-    fields += [("invariants", f, p, "|".join(sorted(t - {None})) or None) for f, (p, t) in merged.items()]
-    return True, len(entries), fields, json.dumps({"summary": {f: _branch(top[f][1]) if f in top else None for f in SUMMARY}, "invariants": rows}, ensure_ascii=False)
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return None
+    return report if isinstance(report, dict) else None
+
+
+def _parts(report: dict) -> tuple[list[tuple[str, object]], list[dict]]:
+    """(leaves of the summary, those outside of it as ../name; entries)."""
+    summary = report.get("summary")
+    held = list(_leaves(summary)) if isinstance(summary, dict) else []
+    held += [(f"../{p}", v) for k, x in report.items() if k not in ("summary", "invariants", "parse_failures") for p, v in _leaves({k: x})]
+    entries = report.get("invariants")
+    return held, [x for x in entries if isinstance(x, dict)] if isinstance(entries, list) else []
+
+
+def _shape(report: dict) -> list[tuple[str, str, str | None]]:
+    """(scope, path, type) of all leaves of a report; a path of the entries has the types it has in any of them."""
+    held, entries = _parts(report)
+    out = {("summary", p): {_type(v)} for p, v in held}
+    shapes = {tuple((k, _type(v) if not isinstance(v, dict) else tuple((p, _type(x)) for p, x in _leaves(v))) for k, v in e.items() if k != "location") for e in entries}
+    for shape in shapes:
+        for k, t in shape:
+            for p, x in [(f"{k}.{q}", y) for q, y in t] if isinstance(t, tuple) else [(k, t)]:
+                out.setdefault(("invariants", p), set()).add(x)
+    return [(s, p, "|".join(sorted(t - {None})) or None) for (s, p), t in sorted(out.items(), key=lambda x: x[0])]
+
+
+def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        read = [read_report(p) for p in b["payload"]]
-        out = b.drop(columns="payload")
-        out["readable"], out["entries"] = [r[0] for r in read], [r[1] for r in read]
-        out["fields"] = [[dict(zip(("scope", "field", "path", "type"), f)) for f in r[2]] for r in read]
-        out["canonical"] = [r[3] for r in read]
+        out, reports = b.drop(columns="payload"), [loaded(p) for p in b["payload"]]
+        out["paths"] = [None if r is None else [{"scope": s, "path": p, "type": t} for s, p, t in _shape(r)] for r in reports]
         yield out
 
 
-def parsed(reports: DataFrame) -> DataFrame:
-    """Each report with its readability, number of entries, fields found and the layout's JSON."""
-    lean = reports.select("file_id", "crate_name", "run_id", "written_at", "payload")
-    return lean.mapInPandas(_read, f"file_id long, crate_name string, run_id string, written_at timestamp, readable boolean, entries int, fields array<{FIELD}>, canonical string")
+def shapes(reports: DataFrame) -> DataFrame:
+    """(file_id, crate, written_at, _block, scope, paths): each readable report's paths with their types, summary and entries apart.
 
+    Reports without entries have no row for these.
+    """
+    read = reports.mapInPandas(_shapes, f"file_id long, crate string, written_at timestamp, _block long, paths array<{PATH}>").where("paths IS NOT NULL")
+    of = lambda scope: F.transform(F.filter("paths", lambda x: x["scope"] == scope), lambda x: F.struct(x["path"], x["type"]))
+    both = F.array(F.struct(F.lit("summary").alias("scope"), of("summary").alias("paths")), F.struct(F.lit("invariants").alias("scope"), of("invariants").alias("paths")))
+    return read.select("file_id", "crate", "written_at", "_block", F.explode(both).alias("s")).select("file_id", "crate", "written_at", "_block", "s.scope", "s.paths").where("scope = 'summary' OR size(paths) > 0")
+
+
+def _before(reports: DataFrame) -> tuple[DataFrame, bool]:
+    """Each report's shape with that of the last report before it, written to the shared folder once."""
+    lean = reports.select("file_id", F.coalesce("crate_name", F.lit("\0")).alias("crate"), "written_at", "payload")
+    placed, many = order.blocked(lean, "written_at", "file_id", SPAN)
+    return cut(order.last_before(shapes(placed), ["crate", "scope"], "written_at", "file_id", F.struct("paths"), "was", many)), many
+
+
+def _words(name: str) -> set[str]:
+    return {w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower()) if w}
+
+
+def _table(fused: dict[tuple[str, str], str]) -> Column:
+    """A map from scope.path to scope.field."""
+    return F.from_json(F.lit(json.dumps({f"{s}.{p}": f"{s}.{f}" for (s, p), f in fused.items()})), "map<string,string>")
+
+
+def _speaking(fused: dict[tuple[str, str], str], shaped: DataFrame, by_moves: bool) -> dict[tuple[str, str], str]:
+    """(scope, path) -> field for the paths that stand for a field of the layout, what is fused already counting as that field."""
+    fields, none = [(s, f) for s in LAYOUT for f in LAYOUT[s]], F.array().cast("array<string>")
+    full = [f"{s}.{f}" for s, f in fields]
+    table, layout = _table(fused), F.array(*map(F.lit, full))
+
+    def names(c: Column) -> Column:
+        whole = F.transform(c, lambda x: F.concat("scope", F.lit("."), x["path"]))
+        return F.array_distinct(F.transform(F.coalesce(whole, none), lambda p: F.coalesce(F.try_element_at(table, p), p)))
+
+    here = shaped.select("scope", names(F.col("paths")).alias("now"), names(F.col("was.paths")).alias("then"), F.col("was").isNotNull().alias("after"))
+    moved = lambda a, b: F.when(F.col("after"), F.array_except(a, b)).otherwise(none)
+    known = here.select("scope", "now", F.array_intersect(layout, "now").alias("held"), moved("now", "then").alias("new"), moved("then", "now").alias("lost"))
+    others = F.array_except(F.array_union("now", "lost"), layout)
+
+    def one(p: Column) -> Column:
+        gone = F.array_contains("lost", p)
+        swapped = F.when(F.array_contains("new", p), F.array_intersect(layout, "lost")).when(gone, F.array_intersect(layout, "new")).otherwise(none)
+        return F.struct(p.alias("name"), F.when(gone, 0).otherwise(1).alias("n"), F.when(gone, none).otherwise(F.col("held")).alias("held"), swapped.alias("swapped"))
+
+    # the row without a name counts for all reports of the scope
+    all_ = F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).alias("n"), F.col("held"), F.array_intersect(layout, F.concat("new", "lost")).alias("swapped"))
+    per = known.select("scope", F.explode(F.concat(F.transform(others, one), F.array(all_))).alias("f")).select("scope", "f.*")
+    has = lambda c, f: F.count_if(F.array_contains(c, f))
+    seen = cut(per.groupBy("scope", "name").agg(F.sum("n").alias("n"), *[has("held", f).alias(f"with{i}") for i, f in enumerate(full)], *[has("swapped", f).alias(f"swap{i}") for i, f in enumerate(full)]))
+    total = {r["scope"]: r for r in seen.where("name IS NULL").collect()}
+    options = []
+    for i, (scope, f) in enumerate(fields):
+        if scope in total:
+            every = total[scope]
+            own = _words(f) - set().union(*(_words(g) for g in LAYOUT[scope] if g != f))
+            spoken = F.size(F.array_intersect(F.split(F.lower(F.regexp_replace(F.substring("name", len(scope) + 2, 1 << 30), r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+"), F.array(*map(F.lit, sorted(own))).cast("array<string>"))).cast("long")
+            speaks = (spoken > 0) & (F.col("n") >= (every["n"] - every[f"with{i}"]) * SUPPORT)
+            if by_moves:
+                speaks = speaks | (F.col(f"swap{i}") > 0) & (F.col(f"swap{i}") >= every[f"swap{i}"] * SUPPORT)
+            apart = (F.col("scope") == scope) & (F.col(f"with{i}") <= F.col("n") * TOGETHER)
+            options.append(F.when(apart & speaks, F.struct(spoken.alias("words"), F.col(f"swap{i}").alias("swaps"), F.lit(-i).alias("place"))))
+    if not options:
+        return {}
+    best = seen.where("name IS NOT NULL AND n > 0").select("scope", "name", F.array_max(F.filter(F.array(*options), lambda x: x.isNotNull())).alias("best")).where("best IS NOT NULL")
+    return {(r[0], r[1][len(r[0]) + 1 :]): fields[-r[2]["place"]][1] for r in best.collect()}
+
+
+def _fused(shaped: DataFrame) -> dict[tuple[str, str], str]:
+    """(scope, path) -> field: the drifted names and levels under which fields of the layout live on, as the reports show it.
+
+    A path stands for a field if the two are not found together and either its words include one
+    that no other field of the layout has, or it comes where the field goes, or goes where it
+    comes, from one report to the next. Words decide first, so that the moves are then counted
+    between all names of a field. One aggregate a path counts all of that; only what is fused
+    reaches the driver, and ``SUPPORT`` bounds it.
+    """
+    worded = _speaking({}, shaped, False)
+    return worded | _speaking(worded, shaped, True)
 
-def one_table(reports: DataFrame) -> DataFrame:
-    """Every readable report in one layout.
 
-    A summary count is a struct of ``value`` (whole), the typed ``branch`` it was found in and the
-    ``raw`` JSON: texts of digits become numbers, decimals are cut, a list counts its items.
-    invariant_type keeps text, or the first text of a list; a number code has no text and stays in raw.
-    Fields outside the layout are listed by :func:`changes`.
-    """
-    number = "struct<value bigint, branch string, raw string>"
-    kind = "struct<value string, branch string, raw string>"
-    layout = f"summary struct<{', '.join(f'{f}: {number}' for f in SUMMARY)}>, invariants array<struct<id bigint, invariant_type {kind}, title string, location struct<file_path string, line_start bigint, line_end bigint>, confidence string, entity string>>"
-    return parsed(reports).where("readable").select("file_id", "crate_name", "run_id", "written_at", F.from_json("canonical", layout).alias("r")).select("file_id", "crate_name", "run_id", "written_at", "r.summary", "r.invariants")
+def _placed(paths: Column, fused: dict[tuple[str, str], str], scope: Column) -> Column:
+    """(field, path, type) of each path: a name of the layout holds its own place, the first that stands for it takes a free one, others keep their name."""
+    table, whole = _table(fused), lambda x: F.concat(scope, F.lit("."), x["path"])
+    stands = F.transform(paths, lambda x: F.coalesce(F.substring(F.try_element_at(table, whole(x)), F.length(scope) + 2, F.lit(1 << 30)), x["path"]))
+    own = F.transform(paths, lambda x: x["path"])
+
+    def one(x: Column, i: Column) -> Column:
+        f = F.get(stands, i)
+        free = ~F.array_contains(own, f) & (F.array_position(stands, f) == i + 1)
+        return F.struct(F.when((f == x["path"]) | free, f).otherwise(x["path"]).alias("field"), x["path"], x["type"])
+
+    return F.transform(paths, one)
+
+
+def _field_path(scope: Column, field: Column) -> Column:
+    return F.when(field.startswith("../"), F.substring(field, 4, 1 << 30)).otherwise(F.concat(scope, F.lit("."), field))
 
 
 def changes(reports: DataFrame) -> DataFrame:
     """(file_id, field_path, change_kind, old_path, new_path, old_type, new_type): each change of a report against the last readable one of its crate.
 
-    Every field of every report carries its typed alternative and the name it was found under;
-    a field's history is compared place by place. Added and removed compare presence, renamed the
-    name, retyped the type, where null has none and the last known one of an unbroken presence
-    stands. Fields of the entries are compared among reports that have entries.
-    Payloads that are null, cut off, or no JSON object are passed over. Reports of one instant go by
-    file_id. A null crate_name is a crate of its own. Histories are cut into blocks of ``SPAN``
-    places, and the state at a block's end is carried to the next, so a crate that holds a third
-    of all files is shared out. An empty table gives no rows.
+    Each report's paths carry their typed alternatives; which drifted name or level stands for a
+    field of the layout is inferred from all reports (:func:`_fused`). A report is compared with
+    the last before it that is readable, for the entries' fields the last that has entries. Added
+    and removed compare presence, renamed the path, retyped the type, where null has none and the
+    last known one of an unbroken presence stands. A path outside of summary and entries is named
+    as found. Payloads that are null, cut off, or no JSON object are passed over. Reports of one
+    instant go by file_id, null times come first, a null crate_name is a crate of its own.
+    Histories are cut into blocks (:mod:`.order`), so a crate that holds a third of all files is
+    shared out; only reports whose shape differs go on to the second step. An empty table gives
+    no rows.
     """
-    base = parsed(reports).where("readable").select("file_id", F.coalesce("crate_name", F.lit("\0")).alias("crate"), "written_at", "entries", "fields")
-    scoped = base.select("*", F.explode(F.when(F.col("entries") > 0, F.array(F.lit("summary"), F.lit("invariants"))).otherwise(F.array(F.lit("summary")))).alias("scope"))
-    scoped = scoped.select("file_id", "crate", "written_at", "scope", F.filter("fields", lambda x: x["scope"] == F.col("scope")).alias("fields"))
-    placed = numbered(cut(scoped), ["crate", "scope"], "written_at", "file_id")
-    key = ["crate", "scope", "field"]
-    block = [*key, "block"]
-    here = Window.partitionBy(*block).orderBy("seq")
-    rows = placed.select("file_id", "next_file_id", "crate", "scope", "seq", F.floor(F.col("seq") / SPAN).alias("block"), F.explode("fields").alias("f")).select("file_id", "next_file_id", "crate", "scope", "seq", "block", "f.field", "f.path", "f.type")
-    rows = cut(rows.withColumn("rn", F.row_number().over(here)))
-    known = F.when(F.col("type").isNotNull(), F.struct("seq", "type", "rn"))
-    ends = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("seq", "path")).alias("last"), F.max(known).alias("known"), F.min("seq").alias("first"))
-    over = Window.partitionBy(*key).orderBy("block")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("past", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ends = ends.withColumn("c_known", F.last(F.when(F.col("known").isNotNull(), F.struct(F.col("known.type").alias("type"), (F.col("known.seq") - F.col("known.rn") - F.col("past")).alias("island"))), ignorenulls=True).over(before))
-    ends = ends.select(*block, "past", F.lag("last").over(over).alias("c_last"), "c_known", F.lead("first").over(over).alias("c_next"))
-    r = rows.join(ends, block)
-    island = F.col("seq") - F.col("rn") - F.col("past")
-    r = r.withColumn("island", island)
-    typed = F.when(F.col("type").isNotNull(), F.struct("type", "island"))
-    r = (
-        r.withColumn("prev", F.coalesce(F.lag(F.struct("seq", "path")).over(here), F.col("c_last")))
-        .withColumn("was", F.coalesce(F.last(typed, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("c_known")))
-        .withColumn("then", F.coalesce(F.lead("seq").over(here), F.col("c_next")))
-    )
-    unbroken = F.coalesce(F.col("prev.seq") == F.col("seq") - 1, F.lit(False))
-    gone = F.col("next_file_id").isNotNull() & (F.col("then").isNull() | (F.col("then") > F.col("seq") + 1))
-    old = F.when(unbroken & (F.col("was.island") == F.col("island")), F.col("was.type"))
-
-    def event(cond: Column, kind: str, file: Column, **more: Column) -> Column:
+    shaped, many = _before(reports)
+    fused = _fused(shaped)
+    scope, key = F.col("scope"), ["crate", "scope", "field"]
+    moved = shaped.where(F.col("was").isNull() | (F.col("was.paths") != F.col("paths")))
+    both = moved.select("file_id", "crate", "written_at", "scope", "_block", F.col("was").isNull().alias("first"), _placed(F.col("paths"), fused, scope).alias("now"), F.when(F.col("was").isNotNull(), _placed(F.col("was.paths"), fused, scope)).alias("then"))
+    then = F.coalesce("then", F.array().cast("array<struct<field string, path string, type string>>"))
+    old = lambda x: F.get(F.filter(then, lambda y: y["field"] == x["field"]), F.lit(0))
+    is_now = F.transform("now", lambda x: F.struct(x["field"].alias("field"), x.alias("now"), old(x).alias("then")))
+    lost = F.filter(then, lambda y: ~F.exists("now", lambda x: x["field"] == y["field"]))
+    is_lost = F.transform(lost, lambda y: F.struct(y["field"].alias("field"), F.lit(None).cast("struct<field string, path string, type string>").alias("now"), y.alias("then")))
+    steps = F.filter(F.concat(is_now, is_lost), lambda x: ~x["now"].eqNullSafe(x["then"]))
+    rows = both.select("file_id", "crate", "written_at", "scope", "_block", "first", F.explode(steps).alias("s")).select("file_id", "crate", "written_at", "scope", "_block", "first", "s.field", "s.now", "s.then")
+    # the last known type since the field came: the row in which it came tells it even where it is null
+    told = F.when(F.col("now").isNotNull() & (F.col("then").isNull() | F.col("now.type").isNotNull()), F.struct(F.col("now.type").alias("type")))
+    rows = order.last_before(rows, key, "written_at", "file_id", told, "known", many)
+    known, kind = F.col("known.type"), F.col("now.type")
+
+    def event(cond: Column, name: str, **more: Column) -> Column:
         text = lambda k: more.get(k, F.lit(None)).cast("string").alias(k)
-        return F.when(cond, F.struct(file.alias("file_id"), F.lit(kind).alias("change_kind"), *map(text, ("old_path", "new_path", "old_type", "new_type"))))
+        return F.when(cond, F.struct(F.lit(name).alias("change_kind"), *map(text, ("old_path", "new_path", "old_type", "new_type"))))
 
-    path, kind = F.col("path"), F.col("type")
+    stays = F.col("now").isNotNull() & F.col("then").isNotNull()
     events = F.array(
-        event(~unbroken & (F.col("seq") > 1), "added", F.col("file_id"), new_path=path, new_type=kind),
-        event(gone, "removed", F.col("next_file_id"), old_path=path, old_type=kind),
-        event(unbroken & (F.col("prev.path") != path), "renamed", F.col("file_id"), old_path=F.col("prev.path"), new_path=path),
-        event(old != kind, "retyped", F.col("file_id"), old_type=old, new_type=kind),
+        event(F.col("then").isNull() & ~F.col("first"), "added", new_path=F.col("now.path"), new_type=kind),
+        event(F.col("now").isNull(), "removed", old_path=F.col("then.path"), old_type=F.coalesce("then.type", known)),
+        event(stays & (F.col("now.path") != F.col("then.path")), "renamed", old_path=F.col("then.path"), new_path=F.col("now.path")),
+        event(stays & (known != kind), "retyped", old_type=known, new_type=kind),
     )
-    found = r.select(F.concat_ws(".", "scope", "field").alias("field_path"), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
-    return found.select("e.file_id", "field_path", "e.change_kind", "e.old_path", "e.new_path", "e.old_type", "e.new_type")
+    found = rows.select("file_id", _field_path(F.col("scope"), F.col("field")).alias("field_path"), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
+    return found.select("file_id", "field_path", "e.change_kind", "e.old_path", "e.new_path", "e.old_type", "e.new_type")
+
+
+def alternatives(reports: DataFrame) -> DataFrame:
+    """(field_path, found_as, type, reports, first_seen): every name and type under which a field was found, in how many reports and since when.
+
+    The union of all shapes: paths that stand for a field of the layout are its alternatives. A
+    null has no type; the entries of one report count once, with all the types they have.
+    """
+    shaped, _ = _before(reports)
+    each = shaped.select("scope", "written_at", F.explode(_placed(F.col("paths"), _fused(shaped), F.col("scope"))).alias("p"))
+    return each.groupBy(_field_path(F.col("scope"), F.col("p.field")).alias("field_path"), F.col("p.path").alias("found_as"), F.col("p.type").alias("type")).agg(F.count(F.lit(1)).alias("reports"), F.min("written_at").alias("first_seen"))
+
+
+def _branch(v: object, number: bool) -> dict | None:
+    """A value with its typed branch and what the layout makes of it: a whole number or a text."""
+    if v is None:
+        return None
+    kind, value = _type(v), None
+    if number:
+        if kind == "list":
+            value = len(v)
+        elif kind in ("whole", "decimal") and abs(v) < 2**63:
+            value = int(v)
+        elif kind == "text" and re.fullmatch(r"\s*[-+]?\d{1,18}\s*", v):
+            value = int(v)
+    elif kind == "text":
+        value = v
+    elif kind == "list":
+        value = next((x for x in v if isinstance(x, str)), None)
+    return {"value": value, "branch": kind, "raw": json.dumps(v, ensure_ascii=False)}
+
+
+def _in_layout(pairs: list[tuple[str, object]], fused: dict[str, str], layout: tuple[str, ...], numbers: tuple[str, ...]) -> dict:
+    own, out, extra = {p for p, _ in pairs}, {}, {}
+    for p, v in sorted(pairs, key=lambda x: x[0]):
+        f = p if p in layout else fused.get(p, p)
+        if f not in layout or f != p and (f in own or f in out):
+            extra[p] = _branch(v, False) or {"value": None, "branch": None, "raw": "null"}
+        else:
+            out[f] = _branch(v, f in numbers)
+    return {f: out.get(f) for f in layout} | {"extra": extra}
+
+
+def _canonical(fused: dict[tuple[str, str], str]):
+    of = {s: {p: f for (t, p), f in fused.items() if t == s} for s in LAYOUT}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b.drop(columns="payload")
+            made = []
+            for p in b["payload"]:
+                if (report := loaded(p)) is None:
+                    made.append(None)
+                    continue
+                held, entries = _parts(report)
+                rows = []
+                for e in entries:
+                    at = e.get("location")
+                    row = _in_layout(list(_leaves({k: v for k, v in e.items() if k != "location"})), of["invariants"], LAYOUT["invariants"], ("id",))
+                    row |= _in_layout(list(_leaves(at)) if isinstance(at, dict) else [], {}, PLACE, PLACE[1:]) | {"extra": row["extra"]}
+                    if isinstance(at, dict):
+                        row["extra"] |= {f"location.{p}": x for p, x in _in_layout(list(_leaves(at)), {}, PLACE, PLACE[1:])["extra"].items()}
+                    elif at is not None:
+                        row["extra"]["location"] = _branch(at, False)
+                    rows.append(row)
+                summary = _in_layout(held, of["summary"], SUMMARY, SUMMARY)
+                made.append(json.dumps({"summary": summary, "invariants": rows}, ensure_ascii=False))
+            out["canonical"] = made
+            yield out
+
+    return run
+
+
+def one_table(reports: DataFrame) -> DataFrame:
+    """Every readable report in one layout: (file_id, crate_name, run_id, written_at, summary, invariants).
+
+    Each field is a struct of ``value``, the typed ``branch`` it was found in and the ``raw`` JSON.
+    Counts and ids become whole numbers: texts of digits are read, decimals cut, a list counts its
+    items; what does not fit (1e400) has no value. Texts stay, of a list the first text is taken;
+    what has neither has no value and stays in raw. Fields outside the layout, those of the
+    report's top level as ../name among them, are in ``extra``, a map of the same structs.
+    """
+    fused = _fused(_before(reports)[0])
+    struct = lambda v: f"struct<value {v}, branch string, raw string>"
+    extra = f"extra map<string, {struct('string')}>"
+    entry = ", ".join(f"{f} {struct('bigint' if f in ('id', *PLACE[1:]) else 'string')}" for f in (*LAYOUT["invariants"], *PLACE))
+    layout = f"summary struct<{', '.join(f'{f} {struct("bigint")}' for f in SUMMARY)}, {extra}>, invariants array<struct<{entry}, {extra}>>"
+    lean = reports.select("file_id", "crate_name", "run_id", "written_at", "payload")
+    read = lean.mapInPandas(_canonical(fused), "file_id long, crate_name string, run_id string, written_at timestamp, canonical string").where("canonical IS NOT NULL")
+    return read.select("file_id", "crate_name", "run_id", "written_at", F.from_json("canonical", layout).alias("r")).select("file_id", "crate_name", "run_id", "written_at", "r.summary", "r.invariants")

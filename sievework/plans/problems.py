@@ -19,10 +19,21 @@ def p3_changes(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "report_files"))
 
 
+def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Every name and type under which a field was found, in how many reports and since when."""
+    return drift.alternatives(table(spark, d, "report_files"))
+
+
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
-    """One row per report in the layout, with the branches that its drifting fields came in."""
+    """One row per report in the layout, with the branches that its drifting fields came in and the fields outside of it."""
+    t = drift.one_table(table(spark, d, "report_files"))
+    return t.select("file_id", "crate_name", "run_id", "written_at", *[F.col(f"summary.{f}.value").alias(f) for f in drift.SUMMARY], F.col("summary.temporal_ordering_count.branch").alias("temporal_ordering_branch"), F.col("summary.state_machine_count.branch").alias("state_machine_branch"), F.to_json("summary.extra").alias("extra"), F.to_json("invariants").alias("invariants"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of every report, whatever name, level and type they came in."""
     t = drift.one_table(table(spark, d, "report_files"))
-    return t.select("file_id", "crate_name", "run_id", "written_at", *[F.col(f"summary.{f}.value").alias(f) for f in drift.SUMMARY], F.col("summary.temporal_ordering_count.branch").alias("temporal_ordering_branch"), F.col("summary.state_machine_count.branch").alias("state_machine_branch"), F.to_json("invariants").alias("invariants"))
+    return t.select("file_id", *[F.col(f"summary.{f}.value").alias(f) for f in drift.SUMMARY])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +59,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _twins(spark, d).groupBy("difference").agg(F.count(F.lit(1)).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_changes, p3_table, p4_found, p4_once, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_changes, p3_alternatives, p3_table, p3_counts, p4_found, p4_once, p5_found, p5_report)}
 
 _KEYED = r"""
 WITH m AS (
@@ -78,7 +89,20 @@ found AS (
   UNION ALL SELECT an.id, 'invariant_type' FROM an JOIN bn ON an.id = bn.id AND an.t <> bn.t)
 """
 
+# the names under which the two drifting counts are found in the test tables
+_NAMES = {
+    "temporal_ordering_count": ("temporal_ordering_count", "temporalOrderingCount", "temporal_count", "n_temporal_ordering", "TemporalOrdering", "by_type.temporal_ordering"),
+    "state_machine_count": ("state_machine_count", "stateMachineCount", "fsm_count", "n_state_machine", "StateMachine", "by_type.state_machine"),
+}
+
+
+def _count(f: str) -> str:
+    found = "coalesce(" + ", ".join(f"nullif(json_extract(j, '$.summary.{n}'), 'null')" for n in (*_NAMES.get(f, (f,)), f)) + ")"
+    return f"CASE json_type({found}) WHEN 'ARRAY' THEN json_array_length({found}) WHEN 'VARCHAR' THEN TRY_CAST(trim(json_extract_string({found}, '$')) AS BIGINT) ELSE CAST(trunc(CAST({found} AS DOUBLE)) AS BIGINT) END AS {f}"
+
+
 ORACLE = {
+    "p3_counts": f"WITH r AS (SELECT file_id, CAST(payload AS JSON) AS j FROM report_files WHERE json_valid(payload)) SELECT file_id, {', '.join(map(_count, drift.SUMMARY))} FROM r",
     "p4_found": _KEYED + "SELECT delivery_no FROM k WHERE copy > 1",
     "p4_once": _KEYED + "SELECT lower(trim(status)) AS status, count(*) AS messages, CAST(sum(tokens_used) AS BIGINT) AS tokens_used FROM k WHERE copy = 1 GROUP BY 1",
     "p5_found": _SIDES + "SELECT id, difference FROM found",

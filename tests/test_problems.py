@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import drift, redelivery, twins
+from sievework.operators import drift, order, redelivery, twins
 from sievework.plans.problems import COMPARED
 
 REPORT = "file_id long, crate_name string, run_id string, written_at timestamp, payload string, scope string, seq int"
@@ -59,11 +59,50 @@ def test_blocks_and_days_make_no_difference(spark, monkeypatch):
     assert changed(reports(spark, *series)) == whole and len(whole) > 20
 
 
-def test_one_table_keeps_branches(spark):
-    t = drift.one_table(reports(spark, rep({"fsm_count": "12", "temporal_count": [1, 2]}, {"id": 1, "kind": ["protocol"]}))).first()
-    assert (t.summary.state_machine_count.value, t.summary.state_machine_count.branch) == (12, "text")
-    assert (t.summary.temporal_ordering_count.value, t.summary.temporal_ordering_count.branch) == (2, "list")
-    assert t.invariants[0].invariant_type.value == "protocol" and t.invariants[0].title is None
+def test_a_name_is_fused_where_the_field_moves_to_it(spark):
+    a, b = rep({"state_machine_count": 1, "chunks_seen": 2}, {"id": 1, "invariant_type": "x"}), rep({"automata": 1, "chunks_seen": 2}, {"id": 1, "label": "x", "severity": "s"})
+    out = changed(reports(spark, a, b, a, b))
+    assert {x[1:] for x in out if x[1].startswith("summary")} == {("summary.state_machine_count", "renamed")}
+
+
+def test_what_comes_and_goes_apart_is_not_fused(spark):
+    a, b = rep({"state_machine_count": 1}), rep({"state_machine_count": 1, "build": "z"})
+    assert changed(reports(spark, a, b, rep({"build": "z"}), a)) == [(2, "summary.build", "added"), (3, "summary.state_machine_count", "removed"), (4, "summary.build", "removed"), (4, "summary.state_machine_count", "added")]
+
+
+def test_one_table_keeps_branches_and_extras(spark):
+    odd = '{"summary": {"total_invariants": 1, "state_machine_count": 1e400, "n_protocol": [1, 2], "runtime_ms": 5}, "tool": {"build": "x"}, "invariants": [{"id": "12", "invariant_type": ["protocol"], "location": {"file_path": "f", "line_start": "4", "col": 2}, "score": 0.5}, {"id": 1.0, "invariant_type": 3, "location": "f:3", "title": null}], "parse_failures": []}'
+    t = drift.one_table(reports(spark, odd, "{", rep({"state_machine_count": "12", "protocol_count": 1}))).orderBy("file_id").collect()
+    s = t[0].summary
+    assert (s.state_machine_count.value, s.state_machine_count.branch) == (None, "decimal")
+    assert (s.protocol_count.value, s.protocol_count.branch, s.protocol_count.raw) == (2, "list", "[1, 2]")
+    assert {k: v.raw for k, v in s.extra.items()} == {"runtime_ms": "5", "../tool.build": '"x"'}
+    one, two = t[0].invariants
+    assert (one.id.value, one.id.branch, one.line_start.value, one.line_start.branch, one.file_path.value, one.invariant_type.value) == (12, "text", 4, "text", "f", "protocol")
+    assert {k: v.raw for k, v in one.extra.items()} == {"location.col": "2", "score": "0.5"}
+    assert (two.id.value, two.id.branch, two.invariant_type.value, two.invariant_type.raw, two.title, two.extra["location"].value) == (1, "decimal", None, "3", None, "f:3")
+    assert len(t) == 2 and (t[1].summary.state_machine_count.value, t[1].summary.total_invariants.value) == (12, 1)
+
+
+def test_alternatives(spark):
+    rows = drift.alternatives(reports(spark, rep({"state_machine_count": 1}), rep({"state_machine_count": 2}), rep({"stateMachineCount": "3"}), "[")).where("field_path = 'summary.state_machine_count'").collect()
+    assert sorted((r.found_as, r.type, r.reports) for r in rows) == [("stateMachineCount", "text", 1), ("state_machine_count", "whole", 2)]
+
+
+@pytest.mark.parametrize("span", [3, 10_000])
+def test_places_and_last_values_in_blocks(spark, span):
+    t = datetime(2025, 1, 1)
+    rows = [(i, None if i % 3 == 0 else "g", None if i % 5 == 0 else t if i % 2 else t + timedelta(seconds=i * 37 % 11), None if i % 4 else str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g string, at timestamp, v string")
+    places = {r.id: r.seq for r in order.numbered(df, ["g"], "at", "id", span).collect()}
+    placed, many = order.blocked(df, "at", "id", span)
+    lasts = {r.id: r.was for r in order.last_before(placed, ["g"], "at", "id", F.col("v"), "was", many).collect()}
+    assert many == (span == 3)
+    for g in (None, "g"):
+        v = None
+        for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] or datetime(1, 1, 1), r[0])), 1):
+            assert (places[r[0]], lasts[r[0]]) == (n, v), (r, n, v)
+            v = r[3] or v
 
 
 def progress(spark, *rows):
