@@ -14,7 +14,7 @@ KINDS = ("temporal_ordering", "resource_lifecycle", "state_machine", "preconditi
 KIND_WORDS = (("temporal_ordering", "temporal|order|sequence"), ("resource_lifecycle", "resource|lifecycle|cleanup"), ("state_machine", "state|machine"), ("precondition", "precondition|require"))
 COMPILE_TIME = "cfg_select|cfg_if|cfg_attr|feature gate|conditional compilation|variant correctness|enum exhaustiveness|documentation policy|doc comment|api stability|compile-time"
 VARIANT_TALK = "represents the state where|this variant|enum variant|represents a|represents the|simply wraps|just describes"
-RETRYABLE = "rate limit|rate_limit|too many requests|429|500|502|503|504|timeout|timed out|connection reset|connection refused|connection closed|broken pipe|overloaded|temporarily unavailable|service unavailable|bad gateway|gateway timeout|network error|try again"
+RETRYABLE = "429|rate limit|rate_limit|too many requests|500|502|503|529|overloaded|capacity|timeout|timed out|connection reset|connection refused|connection closed|broken pipe|eof|dns error|network|temporarily unavailable|server error"
 
 
 def kind_of(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import confidence_of, confidence_rank, kind_of, plain_words
 from ..functions.text import strip
 from ..session import cut
-from .similarity import HOT, crowded_apart, keyed_sets, pairs, subset_members
+from .similarity import HOT, meetings
 
 
 def weighed(findings: DataFrame) -> DataFrame:
@@ -36,38 +36,33 @@ def fuzzy(weighed_findings: DataFrame, hot: int = HOT) -> DataFrame:
     """Findings that remain when, best first, each is dropped that shares over 3/5 of its title's words with one kept.
 
     Compared are findings of one (lower-case entity, kind). Equal word sets keep their best at
-    once; the others meet on rare words, in pairs or, where more than ``hot`` share a word, in
-    groups by common subsets (``similarity.subset_members``), so that a third of all rows under
-    one template stays linear. What the greedy rule keeps is then found in rounds: who has no
-    better rival left is kept, its rivals are dropped. Titles without words are all kept. Rounds
-    end after as many as the longest chain of better rivals, and each is written to the shared
+    once; the others meet in pairs or, where a template crowds them, in groups
+    (:mod:`.similarity`). What the greedy rule keeps is then found in rounds: who has no better
+    rival left is kept, its rivals are dropped. Titles without words are all kept. Rounds end
+    after as many as the longest chain of better rivals, and each writes one table to the shared
     folder.
     """
     rows = weighed_findings.withColumn("block", F.md5(F.concat_ws("\0", F.lower("entity"), "kind"))).withColumn("w", F.array_sort(plain_words(F.col("title"))))
     same = Window.partitionBy("block", "w").orderBy(*_best())
     reps = cut(rows.where("size(w) > 0").withColumn("place", F.row_number().over(same)).where("place = 1").drop("place"))
-    left = _rivals(reps, hot)
-    dropped = None
-    while True:
+    state = cut(_rivals(reps, hot).withColumn("status", F.lit("open")))
+    while not (left := state.where("status = 'open'")).isEmpty():
         top = left.groupBy("group").agg(F.max(F.when(F.col("low"), F.col("p"))).alias("low_top"), F.max(F.when(F.col("high"), F.col("p"))).alias("high_top"))
-        beaten = (F.col("low") & (F.col("high_top") > F.col("p"))) | (F.col("high") & (F.col("low_top") > F.col("p")))
-        worse = cut(left.join(top, "group").where(beaten).select(F.col("id").alias("beaten_id")).distinct())
-        if worse.isEmpty():
-            break
-        lost = F.col("id") == F.col("beaten_id")
-        winners = left.join(worse, lost, "left_anti").groupBy("group").agg(F.max("low").alias("low_kept"), F.max("high").alias("high_kept"))
-        open_ = left.join(worse, lost, "left_semi")
-        out = cut(open_.join(winners, "group").where("(low AND high_kept) OR (high AND low_kept)").select(F.col("id").alias("out_id")).distinct())
-        dropped = out if dropped is None else dropped.unionByName(out)
-        left = cut(open_.join(out, F.col("id") == F.col("out_id"), "left_anti"))
-    kept = reps if dropped is None else reps.join(dropped, F.col("id") == F.col("out_id"), "left_anti")
-    return kept.unionByName(rows.where("size(w) = 0")).drop("block", "w")
+        beaten = F.coalesce((F.col("low") & (F.col("high_top") > F.col("p"))) | (F.col("high") & (F.col("low_top") > F.col("p"))), F.lit(False))
+        won = left.join(top, "group").groupBy("id").agg(F.bool_or(beaten).alias("beaten"))
+        judged = left.join(won, "id")
+        winners = judged.where("NOT beaten").groupBy("group").agg(F.max("low").alias("low_kept"), F.max("high").alias("high_kept"))
+        hit = F.coalesce(F.col("beaten") & ((F.col("low") & F.col("high_kept")) | (F.col("high") & F.col("low_kept"))), F.lit(False))
+        out = judged.join(winners, "group", "left").groupBy("id").agg(F.when(~F.bool_or("beaten"), "kept").when(F.bool_or(hit), "out").otherwise("open").alias("now"))
+        now = left.drop("status").join(out, "id").withColumnRenamed("now", "status")
+        state = cut(now.unionByName(state.where("status = 'out'")).where("status <> 'kept'"))
+    dropped = state.select(F.col("id").alias("out_id")).distinct()
+    return reps.join(dropped, F.col("id") == F.col("out_id"), "left_anti").unionByName(rows.where("size(w) = 0")).drop("block", "w")
 
 
 def _rivals(reps: DataFrame, hot: int) -> DataFrame:
     """(group, low, high, id, p): in a group each low member is similar to each high one; p orders by quality."""
-    sparse, dense = crowded_apart(keyed_sets(reps.select(F.col("id").alias("cid"), "block", "w")), hot)
-    two = pairs(sparse).select(F.concat_ws(" ", "a", "b").alias("group"), F.explode(F.array("a", "b")).alias("id")).select("group", F.lit(True).alias("low"), F.lit(True).alias("high"), "id")
-    many = subset_members(dense).select(F.concat_ws(" ", "block", "lo", "hi", "key").alias("group"), (F.col("n") == F.col("lo")).alias("low"), (F.col("n") == F.col("hi")).alias("high"), F.col("cid").alias("id"))
+    two, many = meetings(reps.select(F.col("id").alias("cid"), "block", "w"), hot)
+    two = two.select(F.concat_ws(" ", "a", "b").alias("group"), F.lit(True).alias("low"), F.lit(True).alias("high"), F.explode(F.array("a", "b")).alias("id"))
     weight = reps.select("id", F.struct("rank", "bytes", (-F.col("id")).alias("early")).alias("p"))
-    return cut(two.unionByName(many).join(weight, "id"))
+    return two.unionByName(many).join(weight, "id")

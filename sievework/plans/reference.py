@@ -51,13 +51,41 @@ kept AS (SELECT unnest(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a,
 LINES = r"regexp_split_to_array(regexp_replace(replace(raw_source, chr(13) || chr(10), chr(10)), '\n\z', ''), '\n')"
 DONE = r"SELECT DISTINCT crate_name, module_path AS chunk_id FROM progress WHERE lower(regexp_replace(status, '^\s+|\s+$', '', 'g')) = 'completed' AND module_path IS NOT NULL"
 HIT = "(" + " OR ".join(f"contains(coalesce(module_path, ''), '{p}')" for p in PREFIXES) + ")"
-TREE = """m AS (SELECT DISTINCT crate_name, module_path AS module FROM chunks WHERE crate_name IS NOT NULL AND module_path IS NOT NULL),
-e AS (SELECT crate_name, CASE WHEN contains(module, '::') THEN regexp_replace(module, '::[^:]*$', '') ELSE 'crate' END AS parent, regexp_replace(module, '^.*::', '') AS sub FROM m WHERE module <> 'crate'),
-c AS (SELECT e.crate_name, e.parent, m.module FROM e JOIN m p ON p.crate_name = e.crate_name AND p.module = e.parent
-  JOIN m ON m.crate_name = e.crate_name AND m.module = CASE WHEN e.parent = 'crate' THEN e.sub ELSE e.parent || '::' || e.sub END)"""
+MOD = r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([^\s;{]+)"
 HEAD = r"^(pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|impl|mod|type|static|const|union)\b\s*(?:<[^>]*>\s*)?([A-Za-z_][A-Za-z0-9_:]*)?"
 NUMBERED_LINES = f"""t AS (SELECT crate_name, chunk_id, {LINES} AS ls FROM chunks WHERE raw_source IS NOT NULL),
 l AS (SELECT crate_name, chunk_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM t)"""
+TREE = f"""{NUMBERED_LINES}, m AS (SELECT DISTINCT crate_name, module_path AS module FROM chunks WHERE crate_name IS NOT NULL AND module_path IS NOT NULL),
+d AS (SELECT DISTINCT c.crate_name, c.module_path AS parent, regexp_extract(l.line, '{MOD}', 1) AS sub FROM l JOIN chunks c ON c.crate_name = l.crate_name AND c.chunk_id = l.chunk_id WHERE c.module_path IS NOT NULL),
+c AS (SELECT DISTINCT d.crate_name, d.parent, m.module FROM d JOIN m ON m.crate_name = d.crate_name AND m.module = CASE WHEN d.parent = 'crate' THEN d.sub ELSE d.parent || '::' || d.sub END WHERE d.sub NOT IN ('', 'tests')
+  UNION SELECT m.crate_name, p.module, m.module FROM m JOIN m p ON p.crate_name = m.crate_name AND p.module = CASE WHEN contains(m.module, '::') THEN regexp_replace(m.module, '::[^:]*$', '') ELSE 'crate' END WHERE m.module <> 'crate')"""
+METHOD = r"^\s+(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+)*fn\s+([A-Za-z_][A-Za-z0-9_]*)"
+FIELD = r"^\s+(?:pub(?:\([^)]*\))?\s+)?([a-z_][A-Za-z0-9_]*):\s*([^,]*),?\s*$"
+VARIANT = r"^\s+([A-Z][A-Za-z0-9_]*)"
+UNSAFE = r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|const\s+)*unsafe\s+(?:extern\s+\S+\s+)?fn\b"
+TARGET = r"^impl\b\s*(?:<[^>]*>\s*)?(?:([^{]*?)\s+for\s+)?([^{]*)"
+SIZE = "CAST(octet_length(encode({})) AS BIGINT)"
+ITEMS = rf"""{NUMBERED_LINES},
+q AS (SELECT *, regexp_matches(line, '{HEAD}') AS head, starts_with(line, '///') AS doc, regexp_matches(line, '{METHOD}') AS method FROM l),
+k AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY crate_name, chunk_id ORDER BY no) + CAST(doc AS INTEGER) AS place FROM q),
+g AS (SELECT crate_name, chunk_id, place, min(no) FILTER (head) AS line_no, max(line) FILTER (head) AS line, CAST(sum(CAST(method AS INTEGER)) AS INTEGER) AS methods,
+  bool_or(method AND regexp_matches(line, '\((?:mut )?self\b')) AS owned, bool_or(regexp_matches(line, '{UNSAFE}')) AS unsafe, bool_or(contains(line, 'PhantomData')) AS phantom,
+  sum(CASE WHEN regexp_matches(line, '{FIELD}') THEN {SIZE.format(f"regexp_extract(line, '{FIELD}', 1)")} + {SIZE.format(f"trim(regexp_extract(line, '{FIELD}', 2))")} + 4 ELSE 0 END) AS field,
+  sum(CASE WHEN regexp_matches(line, '{VARIANT}') THEN {SIZE.format(f"regexp_extract(line, '{VARIANT}', 1)")} + 10 ELSE 0 END) AS variant,
+  sum(CASE WHEN method THEN {SIZE.format(f"regexp_extract(line, '{METHOD}', 1)")} + 10 ELSE 0 END) AS named, sum(CASE WHEN doc THEN {SIZE.format("trim(substr(line, 4))")} ELSE 0 END) AS doc_size,
+  sum(CASE WHEN NOT head AND NOT doc THEN {SIZE.format("trim(line)")} ELSE 0 END) AS line_size FROM k WHERE place > 0 GROUP BY 1, 2, 3),
+h AS (SELECT *, regexp_extract(line, '{HEAD}', 2) AS kind, regexp_extract(line, '{HEAD}', 3) AS name, trim(regexp_extract(line, '{TARGET}', 1)) AS tr, trim(regexp_extract(line, '{TARGET}', 2)) AS tg, trim(regexp_extract(line, '^[^{{;]*')) AS signature FROM g WHERE line IS NOT NULL),
+items AS (SELECT crate_name, chunk_id, CAST(place AS BIGINT) AS place, CAST(line_no AS INTEGER) AS line_no, kind, name, CASE WHEN kind = 'impl' AND tr <> '' THEN tr END AS trait, CASE WHEN kind = 'impl' THEN tg END AS target, signature, methods, owned, unsafe, phantom,
+  CAST(CASE kind WHEN 'struct' THEN {SIZE.format("name")} + field + 20 + doc_size WHEN 'enum' THEN {SIZE.format("name")} + variant + 20 + doc_size WHEN 'fn' THEN {SIZE.format("signature")} + 20 + doc_size + line_size WHEN 'trait' THEN {SIZE.format("name")} + named + 20 ELSE {SIZE.format("tg")} + 20 + 20 * methods + line_size END AS BIGINT) AS chars
+  FROM h WHERE kind IN ('struct', 'enum', 'fn', 'trait', 'impl') AND NOT (kind = 'impl' AND regexp_replace(trim(regexp_replace(tr, '<.*$', '')), '^.*::', '') IN ('Debug', 'Clone', 'Copy', 'Default', 'Display', 'PartialEq', 'Eq', 'Hash', 'PartialOrd', 'Ord')))"""
+CLUSTERS = f"""{ITEMS},
+an AS (SELECT crate_name, chunk_id, place, name, row_number() OVER (PARTITION BY crate_name, chunk_id ORDER BY kind = 'enum', place) - 1 AS n FROM items WHERE kind IN ('struct', 'enum')),
+top AS (SELECT crate_name, chunk_id, count(*) AS n FROM an GROUP BY 1, 2),
+cl AS (SELECT i.*, min(a.n) AS c FROM items i LEFT JOIN an a ON a.crate_name = i.crate_name AND a.chunk_id = i.chunk_id AND ((i.kind IN ('struct', 'enum') AND a.place = i.place) OR (i.kind = 'impl' AND contains(i.target, a.name)) OR (i.kind = 'fn' AND contains(i.signature, a.name))) GROUP BY ALL),
+cn AS (SELECT cl.*, coalesce(cl.c, top.n, 0) AS cluster, CASE WHEN kind IN ('struct', 'enum', 'trait') THEN kind || ' ' || name WHEN kind = 'impl' THEN 'impl ' || coalesce(trait || ' for ', '') || target || ' (' || methods || ' methods)' END AS word FROM cl LEFT JOIN top ON top.crate_name = cl.crate_name AND top.chunk_id = cl.chunk_id),
+cs AS (SELECT crate_name, chunk_id, CAST(cluster AS INTEGER) AS cluster, count(*) FILTER (kind IN ('struct', 'enum')) AS types, count(*) FILTER (kind = 'trait') AS traits, count(*) FILTER (kind = 'fn') AS functions, count(*) FILTER (kind = 'impl') AS impls, sum(methods) AS ms, sum(chars) AS chars,
+  concat_ws(', ', string_agg(word, ', ' ORDER BY kind = 'trait', place) FILTER (kind IN ('struct', 'enum', 'trait')), CASE WHEN count(*) FILTER (kind = 'fn') > 0 THEN count(*) FILTER (kind = 'fn') || ' free function(s)' END, string_agg(word, ', ' ORDER BY place) FILTER (kind = 'impl')) AS summary FROM cn GROUP BY 1, 2, 3),
+clusters AS (SELECT s.crate_name, s.chunk_id, s.cluster, a.name AS anchor, types, traits, functions, impls, summary, CAST(chars // 4 AS BIGINT) AS tokens FROM cs s LEFT JOIN an a ON a.crate_name = s.crate_name AND a.chunk_id = s.chunk_id AND a.n = s.cluster WHERE types + traits + functions > 0 OR ms > 0)"""
 
 
 # --- findings: summaries, classes, duplicates
@@ -215,14 +243,40 @@ def mod_edges(s, d):
 
 @query(f"WITH {TREE} SELECT * FROM c")
 def child_resolution(s, d):
-    return modules.children(modules.modules(table(s, d, "chunks")))
+    """Submodules that a source declares, or a path implies, and that are there."""
+    return modules.children(table(s, d, "chunks"), by_path=True)
 
 
-@query(f"""WITH RECURSIVE {TREE}, b AS (SELECT crate_name, module, 0 AS depth FROM m WHERE module = 'crate'
-  UNION ALL SELECT c.crate_name, c.module, b.depth + 1 FROM b JOIN c ON c.crate_name = b.crate_name AND c.parent = b.module WHERE b.depth < 8)
-SELECT crate_name, module, min(depth) AS depth FROM b GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {TREE}, e AS (SELECT CASE WHEN parent = 'crate' THEN crate_name ELSE crate_name || '::' || parent END AS parent, CASE WHEN module = 'crate' THEN crate_name ELSE crate_name || '::' || module END AS module FROM c UNION SELECT 'workspace', crate_name FROM m WHERE module = 'crate'),
+b AS (SELECT 'workspace' AS module, 0 AS depth UNION SELECT e.module, b.depth + 1 FROM b JOIN e ON e.parent = b.module WHERE b.depth < 64)
+SELECT module, min(depth) AS depth FROM b GROUP BY 1""")
 def bfs_depth(s, d):
-    return modules.reached(modules.modules(table(s, d, "chunks")))
+    """Every module that is reached from the workspace's root, with its depth."""
+    return modules.reached(modules.workspace(table(s, d, "chunks"), by_path=True))
+
+
+@query(f"WITH {ITEMS} SELECT * FROM items")
+def items(s, d):
+    return modules.items(table(s, d, "chunks"))
+
+
+@query(f"WITH {CLUSTERS} SELECT * FROM clusters")
+def type_clusters(s, d):
+    """Each chunk's items by the type they speak of, with what an empty or a loose cluster does."""
+    return modules.clusters(table(s, d, "chunks")).drop("lines")
+
+
+@query(f"""WITH {CLUSTERS}, w AS (SELECT crate_name, chunk_id, cluster, list(summary) OVER (PARTITION BY crate_name, chunk_id ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every, CAST(row_number() OVER (PARTITION BY crate_name, chunk_id ORDER BY cluster) AS INTEGER) AS r FROM clusters)
+SELECT crate_name, chunk_id, cluster, CASE WHEN len(every) > 1 THEN chunk_id || '#' || (r - 1) ELSE chunk_id END AS part, CASE WHEN len(every) > 1 THEN array_to_string(list_concat(list_slice(every, 1, r - 1), list_slice(every, r + 1, len(every))), '; ') END AS siblings FROM w""")
+def cluster_siblings(s, d):
+    """Each cluster's name within its module and what the other parts hold."""
+    return modules.siblings(modules.clusters(table(s, d, "chunks")))
+
+
+@query()
+def cluster_sources(s, d):
+    """The lines of each cluster, with marks where others were left out."""
+    return modules.cluster_sources(table(s, d, "chunks")).select("crate_name", "chunk_id", "cluster", F.octet_length("source").alias("bytes"), F.md5("source").alias("source_md5"))
 
 
 @query(rf"""WITH {NUMBERED_LINES}, h AS (SELECT crate_name, chunk_id, no, line, regexp_extract(line, '{HEAD}', ['v', 'k', 'n']) AS x FROM l WHERE regexp_matches(line, '{HEAD}'))
@@ -259,24 +313,28 @@ def chunk_ordinals(s, d):
     return modules.ordinals(table(s, d, "chunks"))
 
 
-@query(rf"""WITH t AS (SELECT crate_name, chunk_id, {HIT} AS hit, coalesce(raw_source, '') AS r FROM chunks)
-SELECT crate_name, chunk_id, CAST(CASE WHEN hit THEN 1000 ELSE 0 END + len(regexp_extract_all(r, 'PhantomData')) * 50 + len(regexp_extract_all(r, 'Drop for ')) * 40 + len(regexp_extract_all(r, '\((?:mut )?self[,)]')) * 30 + len(regexp_extract_all(r, 'unsafe fn ')) * 20 + CASE WHEN regexp_matches(lower(r), 'safety|must|invariant|precondition') THEN 10 ELSE 0 END AS BIGINT) AS score FROM t""")
+@query(rf"""WITH {ITEMS}, f AS (SELECT crate_name, chunk_id, 50 * count(*) FILTER (kind = 'struct' AND phantom) + 40 * count(*) FILTER (kind = 'impl' AND trait = 'Drop') + 30 * count(*) FILTER (kind = 'impl' AND owned) + 20 * count(*) FILTER (kind = 'impl' AND unsafe) + CASE WHEN count(*) FILTER (kind = 'fn' AND unsafe) > 0 THEN 20 ELSE 0 END AS found FROM items GROUP BY 1, 2)
+SELECT c.crate_name, c.chunk_id, CAST(CASE WHEN {HIT} THEN 1000 ELSE 0 END + CASE WHEN regexp_matches(lower(coalesce(raw_source, '')), 'safety|must|invariant|precondition') THEN 10 ELSE 0 END + coalesce(found, 0) AS BIGINT) AS score FROM chunks c LEFT JOIN f ON f.crate_name = c.crate_name AND f.chunk_id = c.chunk_id""")
 def priority_order(s, d):
     """Chunks with their score, the most telling first."""
     return modules.scores(table(s, d, "chunks"), PREFIXES).orderBy(F.col("score").desc(), "crate_name", "chunk_id")
 
 
-@query("SELECT crate_name, chunk_id, CAST(coalesce(octet_length(encode(raw_source)), 0) // 4 AS BIGINT) AS tokens FROM chunks")
+@query(f"WITH {ITEMS}, f AS (SELECT crate_name, chunk_id, sum(chars) AS chars FROM items GROUP BY 1, 2) SELECT c.crate_name, c.chunk_id, CAST(coalesce(chars, 0) // 4 AS BIGINT) AS tokens FROM chunks c LEFT JOIN f ON f.crate_name = c.crate_name AND f.chunk_id = c.chunk_id")
 def chunk_tokens(s, d):
     return modules.tokens_of(table(s, d, "chunks"))
 
 
+TEMPLATE = "Module: {module}\nFile: {file}\n\n```rust\n{source}\n```\n"
+
+
 @query()
 def prompt_text(s, d):
-    """Each chunk's prompt: a note of its siblings, then its source, cut at 50,000 bytes."""
+    """Each chunk's prompt: the template with the module, the file, a note of the siblings and the source, cut at 50,000 bytes."""
     t = table(s, d, "chunks")
     head = F.when(F.col("sibling_summary").isNotNull(), F.concat(F.lit("// Note: "), "sibling_summary", F.lit("\n"))).otherwise("")
-    return t.select("crate_name", "chunk_id", C.cut_bytes(F.concat(head, F.coalesce("raw_source", F.lit(""))), 50_000, "\n// ... (truncated) ...").alias("prompt"))
+    source = C.cut_bytes(F.concat(head, F.coalesce("raw_source", F.lit(""))), 50_000, "\n// ... (truncated) ...")
+    return t.select("crate_name", "chunk_id", R.prompt(TEMPLATE, module=F.col("module_path"), file=F.col("file_path"), source=source).alias("prompt"))
 
 
 @query()
@@ -294,15 +352,28 @@ def json_extract(s, d):
     return table(s, d, "report_files").select("file_id", F.md5(R.json_part(reply)).alias("array_md5"), F.md5(R.json_part(reply, "{", "}")).alias("object_md5"))
 
 
-@query()
+@query("""WITH a AS (SELECT file_id, CASE WHEN json_valid(payload) AND json_type(payload, '$.invariants') = 'ARRAY' THEN json_extract(payload, '$.invariants[*]') END AS l FROM report_files)
+SELECT file_id, CASE WHEN len(list_filter(l, lambda x: coalesce(json_type(x, '$.id') IN ('UBIGINT', 'BIGINT') AND json_type(x, '$.title') = 'VARCHAR' AND json_type(x, '$.invariant_type') = 'VARCHAR' AND json_type(x, '$.confidence') = 'VARCHAR' AND coalesce(json_type(x, '$.severity'), 'VARCHAR') = 'VARCHAR', false))) = len(l) THEN CAST(len(l) AS INTEGER) END AS entries FROM a""")
 def reply_decode(s, d):
-    """All or nothing: the entries of a payload's array, if each of them has every required field as text; null if not."""
-    v = F.try_parse_json(R.json_part(F.col("payload")))
-    text = lambda x, f: F.coalesce(F.schema_of_variant(F.try_variant_get(x, f"$.{f}", "variant")) == "STRING", F.lit(False))
-    items = F.expr("try_cast(v AS array<variant>)")
-    t = table(s, d, "report_files").select("file_id", v.alias("v")).select("file_id", items.alias("items"))
-    ok = F.forall("items", lambda x: text(x, "title") & text(x, "entity") & text(x, "confidence"))
-    return t.select("file_id", F.when(ok, F.size("items")).alias("entries"))
+    """All or nothing: the entries of a report's array, if each of them has the fields of the layout with their types; null if not."""
+    reply = F.get_json_object("payload", "$.invariants")
+    return table(s, d, "report_files").select("file_id", R.decoded(reply, {"id": "whole", "title": "text", "invariant_type": "text", "confidence": "text"}, {"severity": "text"}).alias("entries"))
+
+
+@query(r"""WITH o AS (SELECT file_id, CASE WHEN strpos(payload, '{') > 0 AND strpos(payload, '}') > 0 AND length(payload) - strpos(reverse(payload), '}') + 1 > strpos(payload, '{') THEN substr(payload, strpos(payload, '{'), length(payload) - strpos(reverse(payload), '}') + 1 - strpos(payload, '{') + 1) ELSE payload END AS b FROM report_files)
+SELECT file_id, NOT coalesce(json_valid(b), false) AS valid, 'medium' AS adjusted_confidence FROM o""")
+def verdict_decode(s, d):
+    """Payloads read as a validator's replies: what is no JSON counts as valid, what does not say so as invalid."""
+    return table(s, d, "report_files").select("file_id", R.verdict(F.col("payload")).alias("v")).select("file_id", "v.valid", "v.adjusted_confidence")
+
+
+@query()
+def explanation_build(s, d):
+    """Each explanation taken apart and built again from its labelled fields."""
+    part = {x: R.field(F.col("evidence.explanation"), x) for x in R.LABELS}
+    listed = lambda c, at: F.filter(F.split(F.coalesce(c, F.lit("")), at), lambda x: x != "")
+    built = R.explanation(part["Entity"], listed(part["States"], ", "), F.lit(None).cast("string"), listed(part["Transitions"], r"\n?- "), listed(part["Evidence"], "; "), part["Implementation"])
+    return table(s, d, "invariants").select("id", built.alias("explanation"))
 
 
 @query()
@@ -351,12 +422,12 @@ def arrival_order(s, d):
     return order.numbered(p, ["run_id"], "received_at", "delivery_no").select("delivery_no", "run_id", F.col("seq").alias("place"))
 
 
-@query(f"SELECT delivery_no, regexp_matches(lower(coalesce(error, '')), '{C.RETRYABLE}') AS retryable, CAST(nullif(regexp_extract(lower(error), 'after (\\d+)', 1), '') AS BIGINT) AS asked FROM progress WHERE error IS NOT NULL")
+@query(r"""SELECT delivery_no, regexp_matches(lower(error), '429|rate limit|rate_limit|too many requests|500|502|503|529|overloaded|capacity|timeout|timed out|connection reset|connection refused|connection closed|broken pipe|eof|dns error|network|temporarily unavailable|server error') AS retryable,
+  CAST(nullif(coalesce(nullif(regexp_extract(lower(error), 'retry after (\d+)', 1), ''), nullif(regexp_extract(lower(error), 'retry-after: (\d+)', 1), ''), regexp_extract(lower(error), 'try again in (\d+)', 1)), '') AS BIGINT) AS asked FROM progress WHERE error IS NOT NULL""")
 def retryable(s, d):
-    """Errors worth another try, with the seconds that they name."""
+    """Errors worth another try, with the seconds that they ask for."""
     p = table(s, d, "progress").where("error IS NOT NULL")
-    named = F.regexp_replace("error", "(?i)(?:gave up|timed out) after ", "retry after ")
-    return p.select("delivery_no", C.is_retryable(F.col("error")).alias("retryable"), C.retry_after(named).alias("asked"))
+    return p.select("delivery_no", C.is_retryable(F.col("error")).alias("retryable"), C.retry_after(F.col("error")).alias("asked"))
 
 
 @query("""WITH t AS (SELECT delivery_no, CAST(delivery_no % 8 AS BIGINT) AS a, CAST(tokens_used % 7 AS BIGINT) AS c, invariants_found AS asked FROM progress WHERE tokens_used IS NOT NULL),
@@ -406,16 +477,62 @@ def report_names(s, d):
     return order.numbered(r, ["crate_name"], "written_at", "file_id").select("file_id", F.format_string("report%03d.json", "seq").alias("file_name"))
 
 
-@query(rf"""SELECT run_id, CAST(list_position(['temporal_ordering', 'resource_lifecycle', 'state_machine', 'precondition', 'protocol'], {KIND}) AS INTEGER) AS section, id,
-'### ' || coalesce(title, '') || chr(10) || chr(10) || '**Location**: `' || coalesce(location.file_path, '') || ':' || coalesce(CAST(location.line_start AS VARCHAR), '') || '-' || coalesce(CAST(location.line_end AS VARCHAR), '') || '`' || chr(10) || '**Confidence**: ' || coalesce(confidence, '') || chr(10) || chr(10) || coalesce(description, '') || chr(10) || chr(10) || '**Suggested Pattern**: ' || coalesce(suggested_pattern, '') || chr(10) AS block FROM invariants""")
+FAILED = "x AS (SELECT run_id, 'report' || file_id AS file, 'no valid JSON' AS error FROM report_files WHERE NOT coalesce(json_valid(payload), false))"
+SUMMED = f"""{FAILED}, v AS (SELECT *, {KIND} AS kind, {CONF} AS conf FROM invariants),
+f AS (SELECT run_id, count(*) AS total_invariants, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_count" for k in C.KINDS)}, count(DISTINCT location.file_path) AS modules_analyzed, max(id) AS last_id FROM v GROUP BY 1),
+z AS (SELECT run_id, count(*) AS failures, max(file) AS last_file FROM x GROUP BY 1),
+s AS (SELECT run_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in sinks.COUNTS)}, coalesce(failures, 0) AS failures, last_id, last_file FROM f FULL JOIN z USING (run_id))"""
+BLOCK = """'### ' || id || '. ' || coalesce(title, '') || chr(10) || chr(10) || '**Location**: `' || coalesce(location.file_path, '') || ':' || coalesce(CAST(location.line_start AS VARCHAR), '') || '-' || coalesce(CAST(location.line_end AS VARCHAR), '') || '`' || chr(10) || chr(10)
+  || '**Confidence**: ' || upper(conf[1]) || conf[2:] || chr(10) || chr(10) || '**Suggested Pattern**: ' || coalesce(suggested_pattern, '') || chr(10) || chr(10) || '**Description**: ' || coalesce(description, '') || chr(10) || chr(10)
+  || '**Evidence**:' || chr(10) || chr(10) || '```rust' || chr(10) || coalesce(evidence.code_snippet, '') || chr(10) || '```' || chr(10) || chr(10) || CASE WHEN coalesce(evidence.explanation, '') <> '' THEN evidence.explanation || chr(10) || chr(10) ELSE '' END || '---' || chr(10) || chr(10)"""
+SECTION = "list_position(['temporal_ordering', 'resource_lifecycle', 'state_machine', 'precondition', 'protocol'], kind)"
+TITLES = "['Temporal Ordering', 'Resource Lifecycle', 'State Machine', 'Precondition', 'Protocol']"
+
+
+def _failures(s, d):
+    r = table(s, d, "report_files").where(F.try_parse_json("payload").isNull())
+    return r.select("run_id", F.concat(F.lit("report"), "file_id").alias("file"), F.lit("no valid JSON").alias("error"))
+
+
+@query(f"""WITH {SUMMED} SELECT run_id, 0 AS section, '' AS place, '# Latent Invariant Analysis Report' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- **Total invariants discovered**: ' || total_invariants || chr(10) || '- **Temporal ordering**: ' || temporal_ordering_count || chr(10) || '- **Resource lifecycle**: ' || resource_lifecycle_count || chr(10)
+  || '- **State machine**: ' || state_machine_count || chr(10) || '- **Precondition**: ' || precondition_count || chr(10) || '- **Protocol**: ' || protocol_count || chr(10) || '- **Modules analyzed**: ' || modules_analyzed || chr(10) || chr(10) AS block FROM s
+UNION ALL SELECT DISTINCT run_id, {SECTION}, '', '## ' || {TITLES}[{SECTION}] || ' Invariants' || chr(10) || chr(10) FROM v
+UNION ALL SELECT run_id, {SECTION}, lpad(CAST(id AS VARCHAR), 20, '0'), {BLOCK} FROM v
+UNION ALL SELECT run_id, 6, '', '## Skipped Files' || chr(10) || chr(10) || failures || ' file(s) could not be parsed:' || chr(10) || chr(10) FROM s WHERE failures > 0
+UNION ALL SELECT run_id, 6, file, '- `' || file || '`: ' || error || chr(10) FROM x""")
 def report_markdown(s, d):
-    return sinks.markdown_blocks(table(s, d, "invariants"), "run_id")
+    """Every run's report, block by block in order."""
+    return sinks.report_markdown(table(s, d, "invariants"), _failures(s, d), "run_id")
 
 
-@query()
+@query(f"""WITH {SUMMED}, j AS (SELECT v.run_id, id, last_id, to_json(struct_pack(id := id, invariant_type := kind, title := title, description := description, location := location, evidence := evidence, suggested_pattern := suggested_pattern, confidence := conf, entity := entity)) AS e FROM v JOIN s ON s.run_id IS NOT DISTINCT FROM v.run_id)
+SELECT run_id, 0 AS section, '' AS place, '{{"summary": ' || CAST(to_json(struct_pack({", ".join(f"{c} := {c}" for c in sinks.COUNTS)})) AS VARCHAR) || ', "invariants": [' AS line FROM s
+UNION ALL SELECT run_id, 1, lpad(CAST(id AS VARCHAR), 20, '0'), CAST(e AS VARCHAR) || CASE WHEN id < last_id THEN ',' ELSE '' END FROM j
+UNION ALL SELECT run_id, 2, '', '], "parse_failures": [' FROM s
+UNION ALL SELECT x.run_id, 3, file, CAST(to_json([file, error]) AS VARCHAR) || CASE WHEN file < last_file THEN ',' ELSE '' END FROM x JOIN s ON s.run_id IS NOT DISTINCT FROM x.run_id
+UNION ALL SELECT run_id, 4, '', ']}}' FROM s""")
 def report_entries(s, d):
-    """Each finding as the JSON of a report's entry."""
-    return sinks.report_json(table(s, d, "invariants"), "run_id")
+    """Every run's JSON report, line by line in order."""
+    return sinks.report_json(table(s, d, "invariants"), _failures(s, d), "run_id")
+
+
+@query("""WITH u AS (SELECT run_id, struct_pack(input_tokens := coalesce(detector.input_tokens, 0), cached_tokens := coalesce(detector.cached_tokens, 0), output_tokens := coalesce(detector.output_tokens, 0), reasoning_tokens := coalesce(detector.reasoning_tokens, 0), total_tokens := coalesce(detector.total_tokens, 0)) AS d,
+  struct_pack(input_tokens := coalesce(validator.input_tokens, 0), cached_tokens := coalesce(validator.cached_tokens, 0), output_tokens := coalesce(validator.output_tokens, 0), reasoning_tokens := coalesce(validator.reasoning_tokens, 0), total_tokens := coalesce(validator.total_tokens, 0)) AS v FROM token_usage)
+SELECT run_id, CAST(to_json(struct_pack(detector := d, validator := v, grand_total_tokens := d.total_tokens + v.total_tokens)) AS VARCHAR) AS usage FROM u WHERE d.total_tokens + v.total_tokens > 0""")
+def token_usage_json(s, d):
+    return sinks.usage_json(table(s, d, "token_usage"))
+
+
+@query("""WITH l AS (SELECT crate_name AS program, payload FROM report_files WHERE crate_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY crate_name ORDER BY written_at DESC NULLS LAST, file_id DESC) = 1),
+r AS (SELECT program, coalesce(json_valid(payload), false) AS ok, CASE WHEN coalesce(json_valid(payload), false) THEN coalesce(json_array_length(payload, '$.invariants'), 0) ELSE 0 END AS n FROM l),
+t AS (SELECT count(*) AS a, count(*) FILTER (ok AND n > 0) AS b, count(*) FILTER (ok AND n = 0) AS c, count(*) FILTER (NOT ok) AS d, CAST(coalesce(sum(n), 0) AS BIGINT) AS e FROM r)
+SELECT 0 AS section, '0' AS place, '| Total programs analyzed | ' || a || ' |' AS line FROM t UNION ALL SELECT 0, '1', '| Programs with invariants | ' || b || ' |' FROM t UNION ALL SELECT 0, '2', '| Programs without invariants | ' || c || ' |' FROM t
+UNION ALL SELECT 0, '3', '| Programs that failed | ' || d || ' |' FROM t UNION ALL SELECT 0, '4', '| **Total invariants found** | ' || e || ' |' FROM t
+UNION ALL SELECT CASE WHEN NOT ok THEN 3 WHEN n > 0 THEN 1 ELSE 2 END, program, '- ' || CASE WHEN NOT ok THEN program || ' (error: no valid JSON)' WHEN n > 0 THEN '[' || program || '](#' || lower(regexp_replace(program, '[_ ]', '-', 'g')) || ') (' || n || ' invariants)' ELSE program END FROM r""")
+def consolidated_markdown(s, d):
+    """One document over all programs, each by its latest report."""
+    r = table(s, d, "report_files").select(F.col("crate_name").alias("program"), "written_at", "file_id", "payload")
+    return sinks.consolidated_markdown(r)
 
 
 @query(r"""WITH n AS (SELECT DISTINCT run_id FROM progress), x AS (SELECT run_id, regexp_extract(run_id, '^(.*)_(\d{8}_\d{6})_(bfs|ss)$', ['m', 't', 'o']) AS p FROM n)

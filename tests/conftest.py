@@ -17,7 +17,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def data():
-    d = Path("/root/testdata/sf0.001")
+    d = Path("/root/testdata/sf0.01")
     if not d.exists():
         pytest.skip("no test data here")
     return str(d)
