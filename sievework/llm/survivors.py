@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled, letters_digits, strip, words
-from ..operators.similarity import HOT, crowded_apart, keyed_sets, pairs, subset_members
+from ..operators.similarity import HOT, meetings
 from ..session import cut
 from .components import components
 
@@ -35,16 +35,13 @@ def _classes(findings: DataFrame) -> DataFrame:
 def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): word sets of one block of which more than three fifths is common, enough of them to chain all that are.
 
-    classes: (cid, block, w). Sets meet on their rarest words. Where more than ``hot`` sets share such a word, their o-subsets are formed instead; sets that share one are
-    linked to its smallest holder of the lesser length, so that links grow with the sets and not
-    with their pairs. Only sets too long for that are joined pair by pair, which Spark splits.
+    classes: (cid, block, w). Where a template crowds sets into groups, each is linked to the
+    group's smallest low member, so that links grow with the sets and not with their pairs.
     """
-    sparse, dense = crowded_apart(keyed_sets(classes), hot)
-    shared = subset_members(dense)
-    group = ["block", "lo", "hi", "key"]
-    centre = shared.where("n = lo").groupBy(*group).agg(F.min("cid").alias("b"))
-    stars = shared.join(centre, group).where("cid <> b").select(F.col("cid").alias("a"), "b")
-    return pairs(sparse).unionByName(stars).distinct()
+    pairs, groups = meetings(classes, hot)
+    centre = groups.where("low").groupBy("group").agg(F.min("id").alias("b"))
+    stars = groups.join(centre, "group").where("id <> b").select(F.col("id").alias("a"), "b")
+    return pairs.unionByName(stars).distinct()
 
 
 def duplicate_groups(findings: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
