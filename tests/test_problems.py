@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import drift, order, redelivery, twins
+from sievework.plans import problems
 from sievework.plans.problems import COMPARED
 
 REPORT = "file_id long, crate_name string, run_id string, written_at timestamp, payload string, scope string, seq int"
@@ -105,6 +106,65 @@ def test_places_and_last_values_in_blocks(spark, span):
             v = r[3] or v
 
 
+def history(con):
+    """The changes of the given reports by the definition, crate by crate; the drifting names are those of the test tables."""
+    known = {("summary", n): f for f, names in problems._NAMES.items() for n in names} | {("invariants", n): "invariant_type" for n in ("invariantType", "type", "kind", "category")}
+    kind = lambda v: None if v is None else {bool: "b", int: "i", float: "f", str: "s", list: "l"}[type(v)]
+    out, last = set(), {}
+
+    def leaves(x, at=""):
+        for k, v in x.items():
+            if isinstance(v, dict):
+                yield from leaves(v, f"{at}{k}.")
+            else:
+                yield at + k, v
+
+    for crate, file, payload in con.sql("SELECT crate_name, file_id, payload FROM report_files ORDER BY crate_name, written_at, file_id").fetchall():
+        try:
+            r = json.loads(payload or "")
+        except ValueError:
+            continue
+        for scope, fields in (("summary", list(leaves(r["summary"]))), ("invariants", [x for e in r["invariants"] for x in leaves({k: v for k, v in e.items() if k != "location"})])):
+            if scope == "invariants" and not r["invariants"]:
+                continue
+            now = {}
+            for p, v in fields:
+                f = known.get((scope, p), p)
+                now[f] = (p, kind(v) or now.get(f, (0, None))[1])
+            if (then := last.get((crate, scope))) is not None:
+                for f in {*now, *then}:
+                    a, b = then.get(f), now.get(f)
+                    if a is None or b is None:
+                        out.add((file, f"{scope}.{f}", "added" if a is None else "removed"))
+                        continue
+                    if a[0] != b[0]:
+                        out.add((file, f"{scope}.{f}", "renamed"))
+                    if a[1] and b[1] and a[1] != b[1]:
+                        out.add((file, f"{scope}.{f}", "retyped"))
+                    now[f] = (b[0], b[1] or a[1])
+            last[crate, scope] = now
+    return out
+
+
+def test_changes_of_the_given_reports(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW report_files AS SELECT * FROM '{data}/report_files.parquet'")
+    want = history(con)
+    rows = problems.p3_changes(spark, data).collect()
+    assert {(r.file_id, r.field_path, r.change_kind) for r in rows} == want and len(rows) == len(want) > 100
+    assert all((r.old_path != r.new_path) == (r.change_kind in ("renamed", "added", "removed")) for r in rows if r.change_kind != "retyped")
+    tables = {r.file_id: r for r in problems.p3_table(spark, data).collect()}
+    assert len(tables) == con.sql("SELECT count(*) FROM report_files WHERE json_valid(payload)").fetchall()[0][0]
+    first = con.sql("SELECT file_id, payload FROM report_files WHERE json_valid(payload)").fetchall()
+    assert all(len(json.loads(tables[i].invariants)) == len(json.loads(p)["invariants"]) for i, p in first)
+    extras = sum(len(json.loads(t.extra)) for t in tables.values())
+    assert extras == sum(1 for _, p in first for k in json.loads(p)["summary"] if k in ("runtime_ms", "schema_version", "dropped_low", "chunks_seen", "tool_build", "duplicates_merged", "validated_count"))
+    found = problems.p3_alternatives(spark, data).where("field_path = 'summary.total_invariants'").collect()
+    assert sum(r.reports for r in found) == len(first)
+
+
 def progress(spark, *rows):
     return spark.createDataFrame([(i + 1, *r, 1, "x", "y") for i, r in enumerate(rows)], PROGRESS)
 
