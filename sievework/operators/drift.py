@@ -117,30 +117,36 @@ def _table(fused: dict[tuple[str, str], str]) -> Column:
     return F.from_json(F.lit(json.dumps({f"{s}.{p}": f"{s}.{f}" for (s, p), f in fused.items()})), "map<string,string>")
 
 
-def _speaking(fused: dict[tuple[str, str], str], shaped: DataFrame, by_moves: bool) -> dict[tuple[str, str], str]:
+def _steps(shaped: DataFrame) -> DataFrame:
+    """(scope, now, then, n): the paths of a report and of the one before it (null for the first), and how many reports have just these; far fewer than reports."""
+    names = lambda c: F.transform(c, lambda x: x["path"])
+    return cut(shaped.groupBy("scope", names(F.col("paths")).alias("now"), names(F.col("was.paths")).alias("then")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _speaking(fused: dict[tuple[str, str], str], steps: DataFrame, by_moves: bool) -> dict[tuple[str, str], str]:
     """(scope, path) -> field for the paths that stand for a field of the layout, what is fused already counting as that field."""
     fields, none = [(s, f) for s in LAYOUT for f in LAYOUT[s]], F.array().cast("array<string>")
     full = [f"{s}.{f}" for s, f in fields]
     table, layout = _table(fused), F.array(*map(F.lit, full))
 
     def names(c: Column) -> Column:
-        whole = F.transform(c, lambda x: F.concat("scope", F.lit("."), x["path"]))
+        whole = F.transform(c, lambda x: F.concat("scope", F.lit("."), x))
         return F.array_distinct(F.transform(F.coalesce(whole, none), lambda p: F.coalesce(F.try_element_at(table, p), p)))
 
-    here = shaped.select("scope", names(F.col("paths")).alias("now"), names(F.col("was.paths")).alias("then"), F.col("was").isNotNull().alias("after"))
+    here = steps.select("scope", "n", names(F.col("now")).alias("now"), names(F.col("then")).alias("then"), F.col("then").isNotNull().alias("after"))
     moved = lambda a, b: F.when(F.col("after"), F.array_except(a, b)).otherwise(none)
-    known = here.select("scope", "now", F.array_intersect(layout, "now").alias("held"), moved("now", "then").alias("new"), moved("then", "now").alias("lost"))
+    known = here.select("scope", "n", "now", F.array_intersect(layout, "now").alias("held"), moved("now", "then").alias("new"), moved("then", "now").alias("lost"))
     others = F.array_except(F.array_union("now", "lost"), layout)
 
     def one(p: Column) -> Column:
         gone = F.array_contains("lost", p)
         swapped = F.when(F.array_contains("new", p), F.array_intersect(layout, "lost")).when(gone, F.array_intersect(layout, "new")).otherwise(none)
-        return F.struct(p.alias("name"), F.when(gone, 0).otherwise(1).alias("n"), F.when(gone, none).otherwise(F.col("held")).alias("held"), swapped.alias("swapped"))
+        return F.struct(p.alias("name"), F.when(gone, 0).otherwise(F.col("n")).alias("n"), F.col("n").alias("of"), F.when(gone, none).otherwise(F.col("held")).alias("held"), swapped.alias("swapped"))
 
     # the row without a name counts for all reports of the scope
-    all_ = F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).alias("n"), F.col("held"), F.array_intersect(layout, F.concat("new", "lost")).alias("swapped"))
+    all_ = F.struct(F.lit(None).cast("string").alias("name"), F.col("n"), F.col("n").alias("of"), F.col("held"), F.array_intersect(layout, F.concat("new", "lost")).alias("swapped"))
     per = known.select("scope", F.explode(F.concat(F.transform(others, one), F.array(all_))).alias("f")).select("scope", "f.*")
-    has = lambda c, f: F.count_if(F.array_contains(c, f))
+    has = lambda c, f: F.sum(F.when(F.array_contains(c, f), F.col("of")).otherwise(0))
     seen = cut(per.groupBy("scope", "name").agg(F.sum("n").alias("n"), *[has("held", f).alias(f"with{i}") for i, f in enumerate(full)], *[has("swapped", f).alias(f"swap{i}") for i, f in enumerate(full)]))
     total = {r["scope"]: r for r in seen.where("name IS NULL").collect()}
     options = []
@@ -169,8 +175,9 @@ def _fused(shaped: DataFrame) -> dict[tuple[str, str], str]:
     between all names of a field. One aggregate a path counts all of that; only what is fused
     reaches the driver, and ``SUPPORT`` bounds it.
     """
-    worded = _speaking({}, shaped, False)
-    return worded | _speaking(worded, shaped, True)
+    steps = _steps(shaped)
+    worded = _speaking({}, steps, False)
+    return worded | _speaking(worded, steps, True)
 
 
 def _placed(paths: Column, fused: dict[tuple[str, str], str], scope: Column) -> Column:
