@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 UNSEEN = regex.compile(r"[\p{Cf}\p{M}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -24,6 +26,8 @@ BY_CHARACTER = ("zh", "ja")
 WORDS, CHARACTERS = 13, 30
 #: Item windows up to this number (some 120 to 260 bytes each) are sent to every task; more are joined by shuffle.
 SENT = 200_000
+#: Bits of the filter that keeps document windows from the shuffle where items are joined so: 32 MB, whatever the number of items.
+FILTER = 1 << 28
 #: Windows that are walked at once, for the memory they take.
 BLOCK = 1 << 17
 
@@ -179,25 +183,58 @@ def _passages(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray, wide: int)
     return ids[np.minimum(starts[:, None] + np.arange(wide), stops[:, None] - 1)]
 
 
-def _windows(key: str, p: Plan, by_character: bool, spare: int = 0):
-    """Rows (key, table, signature, symbols) of every window of every text.
+def _blocks(texts: list[str], p: Plan, by_character: bool, cache: _Symbols, spare: int, block: int):
+    """(text number of each window, a function that gives the passages of some, its length, its signatures), a block of windows at a time."""
+    ids, ends = symbols(texts, by_character, cache)
+    owner, starts = _starts(ends, p.window - spare)
+    for k in range(0, len(starts), block):
+        s, o = starts[k : k + block], owner[k : k + block]
+        stops = np.minimum(s + p.window + spare, ends[o + 1])
+        yield o, lambda x, s=s, stops=stops: _passages(ids, s[x], stops[x], p.window + spare).view(np.int64), stops - s, signatures(ids, s, p, np.minimum(s + p.window, stops))
 
-    With ``spare``, windows are so much longer, or at a text's end so much shorter.
-    """
+
+def _item_windows(p: Plan, by_character: bool):
+    """(item_id, own, sigs): the symbols and the signatures of every window of every item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Symbols()
         for b in batches:
-            ids, ends = symbols(b["text"].tolist(), by_character, cache)
-            owner, starts = _starts(ends, p.window - spare)
-            for k in range(0, len(starts), BLOCK // 4):
-                s, o = starts[k : k + BLOCK // 4], owner[k : k + BLOCK // 4]
-                stops = np.minimum(s + p.window + spare, ends[o + 1])
-                sig = signatures(ids, s, p, np.minimum(s + p.window, stops))
-                own = [w[:n] for w, n in zip(_passages(ids, s, stops, p.window + spare).view(np.int64), stops - s)]
-                keys = b[key].to_numpy()[o]
+            keys = b["item_id"].to_numpy()
+            for o, own, _, sig in _blocks(b["text"].tolist(), p, by_character, cache, 0, BLOCK // 4):
+                yield pd.DataFrame({"item_id": keys[o], "own": list(own(slice(None))), "sigs": list(sig)})
+
+    return run
+
+
+def _places(sig: np.ndarray, tab: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each signature."""
+    with np.errstate(over="ignore"):
+        x = _scramble(sig.view(np.uint64) + np.uint64(tab + 1) * _MIX)
+    return x & np.uint64(FILTER - 1), (x >> np.uint64(32)) & np.uint64(FILTER - 1)
+
+
+def _filter_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, mask): the filter's bits that the items' signatures set."""
+    for b in batches:
+        sigs = np.stack(b["sigs"]) if len(b) else np.empty((0, 0), np.int64)
+        bits = np.unique(np.concatenate([np.concatenate(_places(np.ascontiguousarray(sigs[:, t]), t)) for t in range(sigs.shape[1])] + [np.empty(0, np.uint64)]))
+        yield pd.DataFrame({"word": (bits >> np.uint64(6)).astype(np.int64), "mask": (np.uint64(1) << (bits & np.uint64(63))).view(np.int64)})
+
+
+def _likely_windows(p: Plan, by_character: bool, sent):
+    """(doc_id, tab, sig, own) of the document windows whose signature may be an item's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, bits = _Symbols(), sent.value
+        has = lambda at: (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+        for b in batches:
+            keys = b["doc_id"].to_numpy()
+            for o, own, length, sig in _blocks(b["text"].tolist(), p, by_character, cache, p.spare, BLOCK // 4):
                 for t in range(p.tables):
-                    yield pd.DataFrame({key: keys, "tab": np.int32(t), "sig": sig[:, t], "own": own})
+                    one, two = _places(np.ascontiguousarray(sig[:, t]), t)
+                    hit = np.flatnonzero(has(one) & has(two))
+                    if len(hit):
+                        yield pd.DataFrame({"doc_id": keys[o[hit]], "tab": np.int32(t), "sig": sig[hit, t], "own": [w[:n] for w, n in zip(own(hit), length[hit])]})
 
     return run
 
@@ -218,20 +255,15 @@ def _scarcest(window: int):
 
 
 def _matches(p: Plan, by_character: bool, sent):
-    """(doc_id, item_id) found by looking signatures up in the index that every task holds."""
+    """(doc_id, win) found by looking signatures up in the index that every task holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Symbols()
-        items, tables, own = sent.value
+        wins, tables, known = sent.value
         for b in batches:
             found: set[tuple] = set()
             docs = b["doc_id"].to_numpy()
-            ids, ends = symbols(b["text"].tolist(), by_character, cache)
-            owner, starts = _starts(ends, p.window - p.spare)
-            for k in range(0, len(starts), BLOCK):
-                s, o = starts[k : k + BLOCK], owner[k : k + BLOCK]
-                stops = np.minimum(s + p.window + p.spare, ends[o + 1])
-                sig = signatures(ids, s, p, np.minimum(s + p.window, stops))
+            for o, own, length, sig in _blocks(b["text"].tolist(), p, by_character, cache, p.spare, BLOCK):
                 for t, (sorted_sig, row) in enumerate(tables):
                     low = np.searchsorted(sorted_sig, sig[:, t], "left")
                     near = np.flatnonzero(sorted_sig[np.minimum(low, len(sorted_sig) - 1)] == sig[:, t])
@@ -242,57 +274,51 @@ def _matches(p: Plan, by_character: bool, sent):
                         near, low, high = near[live], low[live], high[live]
                         at = row[low + step]
                         for c in range(0, len(near), BLOCK):
-                            part = slice(c, c + BLOCK)
-                            x, z = s[near[part]], stops[near[part]]
-                            ok = holds(_passages(ids, x, z, p.window + p.spare), z - x, own[at[part]], p)
-                            found.update(zip(docs[o[near[part][ok]]].tolist(), items[at[part][ok]].tolist()))
+                            x = near[c : c + BLOCK]
+                            ok = holds(own(x), length[x], known[at[c : c + BLOCK]], p)
+                            found.update(zip(docs[o[x[ok]]].tolist(), wins[at[c : c + BLOCK][ok]].tolist()))
                         step += 1
-            yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"], dtype="int64")
+            yield pd.DataFrame(sorted(found), columns=["doc_id", "win"], dtype="int64")
 
     return run
 
 
 def _held(p: Plan):
-    """(doc_id, item_id) of the proposed pairs of windows that hold."""
+    """(doc_id, win) of the proposed pairs of windows that hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 length = b["own"].str.len().to_numpy()
                 flat, starts = np.concatenate(b["own"].tolist()), np.cumsum(length) - length
-                yield b.loc[holds(_passages(flat, starts, starts + length, p.window + p.spare), length, np.stack(b["other"]), p), ["doc_id", "item_id"]]
+                yield b.loc[holds(_passages(flat, starts, starts + length, p.window + p.spare), length, np.stack(b["other"]), p), ["doc_id", "win"]]
 
     return run
 
 
 def _unit(docs: DataFrame, items: DataFrame, p: Plan, by_character: bool, most_sent: int) -> DataFrame | None:
     spark = docs.sparkSession
-    index = items.mapInPandas(_windows("item_id", p, by_character), "item_id long, tab int, sig long, own array<long>").persist()
-    try:
-        n = index.count()
-        if n == 0:
-            return None
-        if n > most_sent:
-            mine = docs.mapInPandas(_windows("doc_id", p, by_character, p.spare), "doc_id long, tab int, sig long, own array<long>")
-            theirs = items.mapInPandas(_windows("item_id", p, by_character), "item_id long, tab int, sig long, own array<long>").withColumnRenamed("own", "other")
-            pairs = mine.join(theirs, ["tab", "sig"])
-            if p.edits == 0:
-                return pairs.where("own = other").select("doc_id", "item_id").distinct()
-            return pairs.select("doc_id", "item_id", "own", "other").distinct().mapInPandas(_held(p), "doc_id long, item_id long").distinct()
+    windows = cut(items.mapInPandas(_item_windows(p, by_character), "item_id long, own array<long>, sigs array<long>").withColumn("win", F.xxhash64("own")))
+    # equal windows, of one item or of many, are one row of the index
+    index = cut(windows.groupBy("win").agg(F.first("own").alias("own"), F.first("sigs").alias("sigs")))
+    n = index.count()
+    if n == 0:
+        return None
+    if n <= most_sent:
         rows = index.toPandas()
-    finally:
-        index.unpersist()
-    first = rows[rows["tab"] == 0]
-    own, which = np.stack(first["own"]).view(np.uint64), first["item_id"].to_numpy(np.int64)
-    # the windows of one item come in one order in each table
-    tables = []
-    for t in range(p.tables):
-        r = rows[rows["tab"] == t]
-        order = np.argsort(r["sig"].to_numpy(np.int64), kind="stable")
-        tables.append((r["sig"].to_numpy(np.int64)[order], order))
-        if t:
-            assert (r["item_id"].to_numpy() == which).all()
-    return docs.mapInPandas(_matches(p, by_character, spark.sparkContext.broadcast((which, tables, own))), "doc_id long, item_id long").distinct()
+        known, sigs = np.stack(rows["own"]), np.stack(rows["sigs"])
+        order = [np.argsort(sigs[:, t], kind="stable") for t in range(p.tables)]
+        sent = spark.sparkContext.broadcast((rows["win"].to_numpy(np.int64), [(sigs[x, t], x) for t, x in enumerate(order)], known))
+        found = docs.mapInPandas(_matches(p, by_character, sent), "doc_id long, win long")
+    else:
+        bits = np.zeros(FILTER >> 6, np.uint64)
+        for w in index.select("sigs").mapInPandas(_filter_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+            bits[w[0]] = np.int64(w[1]).view(np.uint64)
+        mine = docs.mapInPandas(_likely_windows(p, by_character, spark.sparkContext.broadcast(bits)), "doc_id long, tab int, sig long, own array<long>")
+        theirs = index.select("win", F.col("own").alias("other"), F.posexplode("sigs").alias("tab", "sig"))
+        pairs = mine.join(theirs, ["tab", "sig"]).select("doc_id", "win", "own", "other")
+        found = pairs.mapInPandas(_held(p), "doc_id long, win long")
+    return found.distinct().join(windows.select("win", "item_id").distinct(), "win").select("doc_id", "item_id").distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame, edits: int = 0, recall: float = 0.99, words: int = WORDS, characters: int = CHARACTERS, most_sent: int = SENT, shifts: bool = False) -> DataFrame:
@@ -306,17 +332,19 @@ def leaks(documents: DataFrame, items: DataFrame, edits: int = 0, recall: float
     it may be up to ``edits`` symbols shorter or longer, so that a symbol can be missing or added. Case, punctuation, markup signs, line breaks, invisible characters,
     marks and compatibility forms do not count. Whole texts are walked, in blocks.
 
-    The item windows are counted first: up to ``most_sent`` they are sent to all tasks and no
-    document is shuffled; more are joined on (repetition, hash). Null and blank texts, and items
-    shorter than a window, have no rows; repeated rows repeat nothing; other columns are not read.
+    Equal item windows are one row of the index, with its items aside. The index is counted
+    first: up to ``most_sent`` windows are sent to all tasks and no document is shuffled. More are
+    joined on (repetition, hash), and only those document windows are shuffled whose hash passes a
+    filter of fixed size of the items' hashes. Null and blank texts, and items shorter than a
+    window, have no rows; repeated rows repeat nothing; other columns are not read.
     """
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tests = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce("lang", F.lit("")).isin(*BY_CHARACTER).alias("chars"))
     found = []
     by_word = plan(words, edits, recall, shifts)
-    if (u := _unit(docs.where(F.length("text") >= 2 * (words - by_word.spare) - 1), tests.where("NOT chars").select("item_id", "text").coalesce(1), by_word, False, most_sent)) is not None:
+    if (u := _unit(docs, tests.where("NOT chars").select("item_id", "text"), by_word, False, most_sent)) is not None:
         found.append(u)
-    scripted = tests.where("chars").select("item_id", "text").coalesce(1)
+    scripted = tests.where("chars").select("item_id", "text")
     # a document without any such character holds no window of an item with more of them than edits
     least = scripted.mapInPandas(_scarcest(characters), "least long").agg(F.min("least")).first()[0]
     hosts = docs.where(F.col("text").rlike(CJK_RANGES)) if least is not None and least > edits else docs
