@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from . import order
 
 #: The layout that reports are brought to.
@@ -95,7 +95,7 @@ def shapes(reports: DataFrame) -> DataFrame:
 
     Reports without entries have no row for these.
     """
-    read = reports.mapInPandas(_shapes, f"file_id long, crate string, written_at timestamp, _block long, paths array<{PATH}>").where("paths IS NOT NULL")
+    read = spread(reports, "file_id").mapInPandas(_shapes, f"file_id long, crate string, written_at timestamp, _block long, paths array<{PATH}>").where("paths IS NOT NULL")
     of = lambda scope: F.transform(F.filter("paths", lambda x: x["scope"] == scope), lambda x: F.struct(x["path"], x["type"]))
     both = F.array(F.struct(F.lit("summary").alias("scope"), of("summary").alias("paths")), F.struct(F.lit("invariants").alias("scope"), of("invariants").alias("paths")))
     return read.select("file_id", "crate", "written_at", "_block", F.explode(both).alias("s")).select("file_id", "crate", "written_at", "_block", "s.scope", "s.paths").where("scope = 'summary' OR size(paths) > 0")
@@ -330,5 +330,5 @@ def one_table(reports: DataFrame) -> DataFrame:
     entry = ", ".join(f"{f} {struct('bigint' if f in ('id', *PLACE[1:]) else 'string')}" for f in (*LAYOUT["invariants"], *PLACE))
     layout = f"summary struct<{', '.join(f'{f} {struct("bigint")}' for f in SUMMARY)}, {extra}>, invariants array<struct<{entry}, {extra}>>"
     lean = reports.select("file_id", "crate_name", "run_id", "written_at", "payload")
-    read = lean.mapInPandas(_canonical(fused), "file_id long, crate_name string, run_id string, written_at timestamp, canonical string").where("canonical IS NOT NULL")
+    read = spread(lean, "file_id").mapInPandas(_canonical(fused), "file_id long, crate_name string, run_id string, written_at timestamp, canonical string").where("canonical IS NOT NULL")
     return read.select("file_id", "crate_name", "run_id", "written_at", F.from_json("canonical", layout).alias("r")).select("file_id", "crate_name", "run_id", "written_at", "r.summary", "r.invariants")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rust_lines
-from ..session import cut
+from ..session import cut, spread
 
 #: Traits whose implementations say nothing.
 TRIVIAL = ("Debug", "Clone", "Copy", "Default", "Display", "PartialEq", "Eq", "Hash", "PartialOrd", "Ord")
@@ -140,7 +140,7 @@ def spans(chunks: DataFrame) -> DataFrame:
     Braces in strings and comments count. A header whose braces never balance ends with the chunk.
     Rows are independent, so nothing is shuffled; the walk is linear in the text.
     """
-    return chunks.where("raw_source IS NOT NULL").select("crate_name", "chunk_id", "raw_source").mapInPandas(_ends, "crate_name string, chunk_id string, line_no int, end_line int")
+    return spread(chunks.where("raw_source IS NOT NULL").select("crate_name", "chunk_id", "raw_source"), "crate_name", "chunk_id").mapInPandas(_ends, "crate_name string, chunk_id string, line_no int, end_line int")
 
 
 METHOD = r"^\s+(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+)*fn\s+([A-Za-z_][A-Za-z0-9_]*)"
