@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 UNSEEN = regex.compile(r"[\p{Cf}\p{M}]")
@@ -309,12 +309,12 @@ def _unit(docs: DataFrame, items: DataFrame, p: Plan, by_character: bool, most_s
         known, sigs = np.stack(rows["own"]), np.stack(rows["sigs"])
         order = [np.argsort(sigs[:, t], kind="stable") for t in range(p.tables)]
         sent = spark.sparkContext.broadcast((rows["win"].to_numpy(np.int64), [(sigs[x, t], x) for t, x in enumerate(order)], known))
-        found = docs.mapInPandas(_matches(p, by_character, sent), "doc_id long, win long")
+        found = spread(docs, "doc_id").mapInPandas(_matches(p, by_character, sent), "doc_id long, win long")
     else:
         bits = np.zeros(FILTER >> 6, np.uint64)
         for w in index.select("sigs").mapInPandas(_filter_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
             bits[w[0]] = np.int64(w[1]).view(np.uint64)
-        mine = docs.mapInPandas(_likely_windows(p, by_character, spark.sparkContext.broadcast(bits)), "doc_id long, tab int, sig long, own array<long>")
+        mine = spread(docs, "doc_id").mapInPandas(_likely_windows(p, by_character, spark.sparkContext.broadcast(bits)), "doc_id long, tab int, sig long, own array<long>")
         theirs = index.select("win", F.col("own").alias("other"), F.posexplode("sigs").alias("tab", "sig"))
         pairs = mine.join(theirs, ["tab", "sig"]).select("doc_id", "win", "own", "other")
         found = pairs.mapInPandas(_held(p), "doc_id long, win long")

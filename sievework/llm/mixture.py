@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_digits
-from ..session import cut
+from ..session import cut, spread
 
 #: The pattern that byte-level BPE vocabularies of 50k ranks cut words by.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +40,7 @@ def _count(path: str):
 def token_lengths(documents: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, source, tokens) of each document with a text; source is lower case without separators."""
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), letters_digits(F.coalesce("source", F.lit(""))).alias("source"), "text")
-    return docs.mapInPandas(_count(vocabulary), "doc_id long, source string, tokens long").where("tokens > 0")
+    return spread(docs, "doc_id").mapInPandas(_count(vocabulary), "doc_id long, source string, tokens long").where("tokens > 0")
 
 
 #: Tokens of slack beyond the longest document that the knapsack gets at first, and bits that its table may take.

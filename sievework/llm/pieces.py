@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .rust_items import depths, item_starts, line_starts
 
 #: Penalties of a cut: before an item, at another top-level line, within brackets (and a level more each), within a comment or literal, within a line at white space, anywhere else.
@@ -141,7 +142,7 @@ def oversized(chunks: DataFrame, limit: int = 6000, overlap: int = 300) -> DataF
     if not 0 < overlap * 4 <= limit:
         raise ValueError("the overlap must be at most a quarter of the limit")
     over = chunks.where(F.octet_length("raw_source") > limit).select("crate_name", "chunk_id", "module_path", "raw_source")
-    return over.mapInPandas(_split(limit, overlap), f"crate_name string, chunk_id string, module_path string, item_lines array<int>, pieces array<{PIECE}>")
+    return spread(over, "crate_name", "chunk_id").mapInPandas(_split(limit, overlap), f"crate_name string, chunk_id string, module_path string, item_lines array<int>, pieces array<{PIECE}>")
 
 
 def pieces(chunks: DataFrame, limit: int = 6000, overlap: int = 300) -> DataFrame:

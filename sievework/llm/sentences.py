@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import boundaries as B
 
 _CLOSERS = {v: k for k, v in {**B.BRACKETS, **B.QUOTES}.items()}
@@ -26,11 +27,14 @@ _ITEM = regex.compile(r"[ \t﻿]*(?:[-*+•‣·][ \t]+|\(?\d{1,4}(?:[)][ \t]+|
 _EVENT = regex.compile(
     r"`+|[" + regex.escape("".join(_TERM)) + r"]+|[" + regex.escape("".join({*_OPENERS, *_CLOSERS})) + r"]|(?<=[\p{Thai}--\p{N}--\p{S}--\p{P}])[ \t\r\n ]+(?=[\p{Thai}--\p{N}--\p{S}--\p{P}])", regex.V1
 )
-_WORD = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*\Z")
+_MARK = regex.compile(r"\p{M}")
 _BEFORE = regex.compile(r"(\p{L}{1,2})\.\s+\Z")
 _PREVIOUS = regex.compile(r"([\p{L}\p{M}\d.,]+)\s+\Z")
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
 _GERMAN = regex.compile(B.GERMAN)
+_SHORT_NEXT = regex.compile(r"\s+\p{L}{1,3}\.")
+_ORDINAL = regex.compile(r"(?:([\p{L}]+)\s+)?(\d+)\Z")
+_AFTER_NUMBER = regex.compile(r"\d\s*\Z")
 _VOWEL = regex.compile(r"[aeiouyáéíóúàèùâêîôûäöüаеёиоуыэюя]", regex.I)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LATTICE = B.FINAL | B.OPENING | B.CARRYING
@@ -121,19 +125,26 @@ def blocks(text: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(clean) if clean else text, spans
 
 
-def _pairs(text: str, a: int, z: int) -> dict[int, int]:
+def _word_before(text: str, a: int, i: int) -> str:
+    """The letters, marks and inner full stops right before i; none if there is no letter right before it."""
+    j = i
+    while j > a and ((c := text[j - 1]).isalpha() or c == "." and j < i and text[j] != "." or ord(c) > 0x2FF and _MARK.match(c)):
+        j -= 1
+    return text[j + 1 : i] if j < i and text[j] == "." else text[j:i]
+
+
+def _pairs(text: str, events: list[tuple[int, int, str]], a: int, z: int) -> dict[int, int]:
     """Opening position -> end of each outermost quotation, bracket or code span of a block; what has no counterpart counts for nothing."""
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
     code = -1
-    for m in _EVENT.finditer(text, a, z):
-        i, c = m.start(), m[0]
+    for i, end, c in events:
         if c[0] == "`":
             if code < 0:
-                if text.find(c, m.end(), z) >= 0:
+                if text.find(c, end, z) >= 0:
                     code, tick = i, c
             elif c == tick:
-                found.append((code, m.end()))
+                found.append((code, end))
                 code = -1
             continue
         if code >= 0 or c[0] in _TERM or c[0] in _SPACE:
@@ -156,15 +167,16 @@ def _pairs(text: str, a: int, z: int) -> dict[int, int]:
 
 def _dot(text: str, a: int, i: int, end: int, nxt: str, at: int, gap: bool, german: list) -> bool:
     """Whether the single full stop at i, followed by ``nxt`` at ``at``, ends a sentence."""
-    word = m[0] if (m := _WORD.search(text, max(a, i - 40), i)) else ""
+    word = _word_before(text, max(a, i - 40), i)
     low = word.lower()
     if "." in word and low not in B.NEVER | B.EITHER:
         word = word.rpartition(".")[2]  # what a missing space glued together
         low = word.lower()
     if word:
-        if b := _BEFORE.search(text, max(a, i - len(word) - 8), i - len(word)):
+        k = i - len(word)
+        if k > a + 2 and text[k - 1].isspace() and (b := _BEFORE.search(text, max(a, k - 8), k)):
             low = f"{b[1].lower()}.{low}" if f"{b[1].lower()}.{low}" in B.NEVER | B.EITHER else low
-        elif len(word) <= 2 and gap and regex.match(r"\s+\p{L}{1,3}\.", text[i + 1 : i + 12]) and f"{low}.{text[at : at + 3].split('.')[0].lower()}" in B.NEVER | B.EITHER:
+        elif len(word) <= 2 and gap and _SHORT_NEXT.match(text, i + 1, i + 12) and f"{low}.{text[at : at + 3].split('.')[0].lower()}" in B.NEVER | B.EITHER:
             return False
         if low in B.NEVER or low in B.NUMBERED and nxt.isdigit():
             return False
@@ -181,7 +193,7 @@ def _dot(text: str, a: int, i: int, end: int, nxt: str, at: int, gap: bool, germ
     if low in B.EITHER:
         return _opens(nxt) or _caseless(nxt)
     if text[i - 1].isdigit():
-        p = regex.search(r"(?:([\p{L}]+)\s+)?(\d+)\Z", text[max(a, i - 24) : i])
+        p = _ORDINAL.search(text[max(a, i - 24) : i])
         if p and nxt.isupper() and len(p[2]) <= 3:
             if _NEXT_WORD.match(text, at)[0] in B.MONTHS:
                 return False
@@ -194,7 +206,7 @@ def _dot(text: str, a: int, i: int, end: int, nxt: str, at: int, gap: bool, germ
         p = _PREVIOUS.search(text, max(a, i - 30), i - 1)
         return not (p is None or p[1][0].isupper())
     if nxt.islower() and word:
-        unit = regex.search(r"\d\s*\Z", text[max(a, i - len(word) - 3) : i - len(word)])
+        unit = _AFTER_NUMBER.search(text[max(a, i - len(word) - 3) : i - len(word)])
         return bool(unit or _VOWEL.search(word)) and len(word) > 1 or text[i - len(word) - 1] in ":/_"
     return True
 
@@ -211,7 +223,8 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
         stop -= 1
     if not _ALNUM.search(text, a, stop):
         return []
-    spans = _pairs(text, a, stop)
+    events = [(m.start(), m.end(), m[0]) for m in _EVENT.finditer(text, a, stop)]
+    spans = _pairs(text, events, a, stop)
     german: list[bool] = []
     nodes: list[tuple[int, float]] = []
     begin, skip = a, a
@@ -222,13 +235,12 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
         if score > 0:
             begin = end
 
-    for m in _EVENT.finditer(text, a, stop):
-        i, c = m.start(), m[0]
+    for i, end, c in events:
         if i < skip:
             continue
         if c[0] in _SPACE:
             # a gap between Thai letters: a space parts sentences, a line break needs a final or an opening word
-            add(i, 2.0 if c.strip("\r\n") else _gap(text[max(a, i - 24) : i], text[m.end() : m.end() + 24]) - 0.5)
+            add(i, 2.0 if c.strip("\r\n") else _gap(text[max(a, i - 24) : i], text[end : end + 24]) - 0.5)
             continue
         if i in spans:
             end = skip = spans[i]
@@ -256,7 +268,6 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
             continue
         if c[0] not in _TERM:
             continue
-        end = m.end()
         while end < stop and text[end] in B.CLOSING and end not in spans:
             end += 1
         at = end
@@ -285,7 +296,7 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
     top, seen, last, looked = -1, 0, -1, a
     for k, (end, score) in enumerate(nodes):
         for i in range(end - 1, looked - 1, -1):
-            if _ALNUM.match(text, i):
+            if text[i].isalnum():
                 last = i
                 break
         looked = max(looked, end)
@@ -340,7 +351,7 @@ def sentences(documents: DataFrame) -> DataFrame:
     Rows are independent: nothing is shuffled.
     """
     docs = documents.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text")
-    cut = docs.mapInPandas(_sentences, "doc_id long, text string, spans array<struct<sentence_no int, start_pos int, end_pos int>>")
+    cut = spread(docs, "doc_id").mapInPandas(_sentences, "doc_id long, text string, spans array<struct<sentence_no int, start_pos int, end_pos int>>")
     return cut.select("doc_id", "text", F.inline("spans")).select("doc_id", "sentence_no", "start_pos", "end_pos", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
 
 
@@ -352,4 +363,4 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sentence_ends(documents: DataFrame) -> DataFrame:
     """(doc_id, end_pos) of :func:`sentences`, without the texts."""
-    return documents.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text").mapInPandas(_ends, "doc_id long, end_pos int")
+    return spread(documents.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text"), "doc_id").mapInPandas(_ends, "doc_id long, end_pos int")
