@@ -26,8 +26,3 @@ EITHER = set("etc usw u.s u.k u.n a.m p.m ff f inc ltd co corp jr sr al est т.
 ORDINAL_BEFORE = set("am zum vom im dem den der das des die beim ab bis jeder jeden".split())
 MONTHS = set("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner Jahrhundert".split())
 GERMAN = r"\b(?:der|die|das|und|ist|nicht|auf|bis|wird|nach|zum|ein|für|mit|Der|Die|Das|Im|Seit)\b"
-
-#: Spaceless scripts: words that end a clause, words that open one, and particles that carry one on.
-FINAL = set("ครับ ค่ะ คะ นะ จ้ะ แล้ว เสมอ เลย ด้วย เสร็จ เสร็จแล้ว ก่อน ก่อนเสมอ เกินไป ซ้ำ ครั้ง รอบ บังคับ です ます でした ました だ だった ない た る か ね よ 了 吗 吧 呢 啊 久 着 过".split())
-OPENING = set("แต่ ดังนั้น อย่างไรก็ตาม นอกจากนี้ เมื่อ ถ้า หาก ใน ไม่ ไม่มี ค่า ค่าของ ผู้ ผู้เรียก ตัว โมดูล โมดูลนี้ บัฟเฟอร์ ฟังก์ชัน ฟังก์ชันนี้ อัตรา ลำดับ しかし また そして だから なお ただし 但 但是 因此 所以 如果 在 从 当 调用 对 然而 绝 没有".split())
-CARRYING = set("と の は を が に で も へ から まで って 的 地 得 而 和 与".split())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from . import boundaries as B
+from .lexicon import Lexicon, first_run, last_run, lexicon
 
 _CLOSERS = {v: k for k, v in {**B.BRACKETS, **B.QUOTES}.items()}
 _OPENERS = {**B.BRACKETS, **B.QUOTES}
@@ -37,31 +38,7 @@ _ORDINAL = regex.compile(r"(?:([\p{L}]+)\s+)?(\d+)\Z")
 _AFTER_NUMBER = regex.compile(r"\d\s*\Z")
 _VOWEL = regex.compile(r"[aeiouyáéíóúàèùâêîôûäöüаеёиоуыэюя]", regex.I)
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_LATTICE = B.FINAL | B.OPENING | B.CARRYING
-_LONGEST = max(map(len, _LATTICE))
-
-
-def _lattice(text: str) -> list[str]:
-    """The cheapest way through the word lattice: a dictionary word costs 1, a character outside of one 1.5."""
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for i in range(1, len(text) + 1):
-        cost, via = best[i - 1][0] + 1.5, i - 1
-        for j in range(max(0, i - _LONGEST), i):
-            if text[j:i] in _LATTICE and best[j][0] + 1 <= cost:
-                cost, via = best[j][0] + 1, j
-        best.append((cost, via))
-    out, i = [], len(text)
-    while i:
-        j = best[i][1]
-        out.append(text[j:i])
-        i = j
-    return out[::-1]
-
-
-def _gap(before: str, after: str) -> float:
-    """How much a gap between texts of a spaceless script looks like an end: final words and opening words for, carrying particles against."""
-    left, right = _lattice(before[-24:].strip(_SPACE)), _lattice(after[:24].strip(_SPACE))
-    return (1.0 if left and left[-1] in B.FINAL else 0.0) + (1.0 if right and right[0] in B.OPENING else 0.0) - (1.5 if right and right[0] in B.CARRYING else 0.0)
+_NO_WORDS = Lexicon({})
 
 
 def _caseless(c: str) -> bool:
@@ -211,12 +188,13 @@ def _dot(text: str, a: int, i: int, end: int, nxt: str, at: int, gap: bool, germ
     return True
 
 
-def block_ends(text: str, a: int, z: int) -> list[int]:
+def block_ends(text: str, a: int, z: int, words: Lexicon = _NO_WORDS) -> list[int]:
     """Where the sentences of one block end.
 
     The candidates, terminators outside of quotations and brackets and those that close one, form a
     lattice; each is scored by what stands around it, and of the ways through the block that
-    give every sentence a letter or digit the one with the highest sum is taken.
+    give every sentence a letter or digit the one with the highest sum is taken. Gaps of spaceless
+    scripts that no rule decides go by the words on either side of them in the lexicon's lattice.
     """
     stop = z
     while stop > a and text[stop - 1] in _SPACE:
@@ -239,8 +217,8 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
         if i < skip:
             continue
         if c[0] in _SPACE:
-            # a gap between Thai letters: a space parts sentences, a line break needs a final or an opening word
-            add(i, 2.0 if c.strip("\r\n") else _gap(text[max(a, i - 24) : i], text[end : end + 24]) - 0.5)
+            # a gap between Thai letters: a space parts sentences, a line break needs words that lean to an end
+            add(i, 2.0 if c.strip("\r\n") else words.leaning(last_run(text, i, a), first_run(text, end, stop)) - 0.5)
             continue
         if i in spans:
             end = skip = spans[i]
@@ -281,7 +259,7 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
         elif "…" in c or c.count(".") > 1 and not set(c) & set("!?"):
             wide = _caseless(nxt) or nxt == "`" or nxt in _OPENERS
             if not gap and (c.count("…") > 1 or _caseless(text[i - 1])):
-                ends = wide and _gap(text[max(a, i - 24) : i], text[at : at + 24]) > -1
+                ends = wide and words.leaning(last_run(text, i, a), first_run(text, at, stop)) > -1
             else:
                 ends = gap and (_opens(nxt) or _caseless(nxt)) or nxt.isupper() and text[i - 1].islower()
         elif c[0] == "." and len(c) == 1:
@@ -317,12 +295,12 @@ def block_ends(text: str, a: int, z: int) -> list[int]:
     return out[::-1]
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+def sentence_spans(text: str, words: Lexicon = _NO_WORDS) -> list[tuple[int, int]]:
     """(start, end) of each sentence of a text, in characters."""
     clean, spans = blocks(text)
     out = []
     for a, z in spans:
-        for end in block_ends(clean, a, z):
+        for end in block_ends(clean, a, z, words):
             while clean[end - 1] in _SPACE:
                 end -= 1
             while a < end and clean[a] in _SPACE:
@@ -332,35 +310,50 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [sentence_spans(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "spans": [[{"sentence_no": i, "start_pos": s, "end_pos": e} for i, (s, e) in enumerate(f)] for f in found]})
+def _sentences(sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [sentence_spans(t, sent.value) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "spans": [[{"sentence_no": i, "start_pos": s, "end_pos": e} for i, (s, e) in enumerate(f)] for f in found]})
+
+    return run
+
+
+def _ends(sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [[e for _, e in sentence_spans(t, sent.value)] for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].repeat([len(f) for f in found]).to_numpy(), "end_pos": [e for f in found for e in f]}).astype({"end_pos": "int32"})
+
+    return run
 
 
-def sentences(documents: DataFrame) -> DataFrame:
+def _texts(documents: DataFrame) -> DataFrame:
+    return spread(documents.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text"), "doc_id")
+
+
+def _sent(documents: DataFrame, words: Lexicon | None):
+    return documents.sparkSession.sparkContext.broadcast(lexicon(documents) if words is None else words)
+
+
+def sentences(documents: DataFrame, words: Lexicon | None = None) -> DataFrame:
     """(doc_id, sentence_no, start_pos, end_pos, sentence): the sentences of each text, in order.
 
     Positions count characters; end_pos is that of the last one, closing marks included. A blank
     line, a heading or a list item always ends a sentence, a line break within a paragraph and the
     comment or quote marks at line starts do not; fenced code is left out; what stands within
     quotation marks or brackets is not split. Spaced scripts go by a lattice of terminators with
-    abbreviations, numbers and what follows; Thai, Chinese and Japanese gaps by a lattice of
-    dictionary words, whose final particles and opening words decide where no mark does.
-    Null and blank texts have no rows; repeated rows repeat theirs; other columns are not read.
-    Rows are independent: nothing is shuffled.
+    abbreviations, numbers and what follows. In Thai, Chinese and Japanese text the full marks,
+    and a space between Thai letters, part sentences by rule; other gaps are decided by the final
+    and opening words that a lattice of the lexicon's words finds on either side. ``words`` is the
+    lexicon; without one it is made from all of the documents. Null and blank texts have no rows;
+    repeated rows repeat theirs; other columns are not read. Rows are independent: no sentence is
+    shuffled.
     """
-    docs = documents.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text")
-    cut = spread(docs, "doc_id").mapInPandas(_sentences, "doc_id long, text string, spans array<struct<sentence_no int, start_pos int, end_pos int>>")
+    cut = _texts(documents).mapInPandas(_sentences(_sent(documents, words)), "doc_id long, text string, spans array<struct<sentence_no int, start_pos int, end_pos int>>")
     return cut.select("doc_id", "text", F.inline("spans")).select("doc_id", "sentence_no", "start_pos", "end_pos", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
 
 
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [[e for _, e in sentence_spans(t)] for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"].repeat([len(f) for f in found]).to_numpy(), "end_pos": [e for f in found for e in f]}).astype({"end_pos": "int32"})
-
-
-def sentence_ends(documents: DataFrame) -> DataFrame:
+def sentence_ends(documents: DataFrame, words: Lexicon | None = None) -> DataFrame:
     """(doc_id, end_pos) of :func:`sentences`, without the texts."""
-    return spread(documents.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text"), "doc_id").mapInPandas(_ends, "doc_id long, end_pos int")
+    return _texts(documents).mapInPandas(_ends(_sent(documents, words)), "doc_id long, end_pos int")

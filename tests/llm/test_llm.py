@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import components, leaks, mixture, pieces, sentences, survivors
+from sievework.llm import components, leaks, lexicon, mixture, pieces, sentences, survivors
 from sievework.llm.queries import VOCABULARY
 from sievework.llm.rust_items import item_starts
 
@@ -367,3 +367,39 @@ def test_sentence_table(spark):
     assert sorted(tuple(r) for r in ends.where("doc_id < 5").collect()) == [(1, 4), (1, 9), (4, 4), (4, 9)]
     assert [r.sentence for r in sentences.sentences(d).where("doc_id = 1").orderBy("sentence_no").collect()] == ["A b.", "C d."]
     assert sentences.sentence_ends(d.limit(0)).count() == 0
+
+
+# --- the lexicon of spaceless scripts
+
+
+def test_lexicon_learns_words_that_open_and_close(spark):
+    rng = random.Random(8)
+    nouns, verbs = ["守卫", "队列", "缓冲区", "模块", "句柄"], ["释放", "读取", "关闭", "等待"]
+    texts = []
+    for _ in range(400):
+        parts = [f"但是{rng.choice(nouns)}{rng.choice(verbs)}{rng.choice(nouns)}的{rng.choice(nouns)}了" for _ in range(3)]
+        texts.append("。".join(parts) + "。")
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9000, None), (9001, "plain text")], "doc_id long, text string")
+    x = lexicon.lexicon(d)
+    assert x.segments("但是守卫释放队列")[0] == "但是" and x.segments("队列关闭缓冲区了")[-1] == "了"
+    assert x.leaning("守卫关闭队列了", "但是队列") > 1 > -1 > x.leaning("守卫的", "的队列")
+    word = x.words["但是"]
+    assert word.total == word.opens == 1200 and x.words["了"].closes == 1200
+    one = "守卫释放了……但是队列等待句柄了……的模块"
+    assert [one[s:e] for s, e in sentences.sentence_spans(one, x)] == ["守卫释放了……", "但是队列等待句柄了……的模块"]
+    assert lexicon.lexicon(d.where("doc_id > 8999")).words == {} == lexicon.lexicon(d.limit(0)).words
+
+
+def test_segments_are_the_best_way():
+    rng = random.Random(3)
+    words = {"".join(rng.choice("甲乙丙") for _ in range(rng.randint(1, 4))): lexicon.Word(rng.random() * 3) for _ in range(12)}
+    x = lexicon.Lexicon(words)
+    gain = lambda parts: sum(len(p) * words[p].weight for p in parts if p in words)
+
+    def every(t):
+        return [[]] if not t else [[t[:k], *rest] for k in range(1, len(t) + 1) if t[:k] in words or k == 1 for rest in every(t[k:])]
+
+    for _ in range(60):
+        t = "".join(rng.choice("甲乙丙") for _ in range(rng.randint(1, 9)))
+        got = x.segments(t)
+        assert "".join(got) == t and abs(gain(got) - max(map(gain, every(t)))) < 1e-9
