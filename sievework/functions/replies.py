@@ -101,6 +101,12 @@ def sections(c: Column, word: str = "INVARIANT") -> Column:
     return F.when(none, F.array().cast("array<string>")).otherwise(parts)
 
 
+def described(c: Column, labels: tuple[str, ...] = ("Name", "Description", "Kind", "Confidence", *LABELS)) -> Column:
+    """The findings of a reply in plain text, a struct of their labelled fields each; parts without a Name or a Description are dropped."""
+    one = lambda p: F.struct(*[field(p, x, labels).alias(x.lower()) for x in labels])
+    return F.filter(F.transform(sections(c), lambda p: one(F.concat(F.lit("\n"), p))), lambda x: x["name"].isNotNull() & x["description"].isNotNull())
+
+
 def hits(c: Column) -> Column:
     """The numbered entries of a search listing, as (path, similarity, line_start, line_end); entries without a line number are dropped."""
 

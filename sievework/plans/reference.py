@@ -422,6 +422,13 @@ def arrival_order(s, d):
     return order.numbered(p, ["run_id"], "received_at", "delivery_no").select("delivery_no", "run_id", F.col("seq").alias("place"))
 
 
+@query("SELECT delivery_no, row_number() OVER (ORDER BY received_at NULLS FIRST, delivery_no) AS place FROM progress")
+def global_order(s, d):
+    """Each row's place among all rows by time of arrival, found without one task that holds them."""
+    p = table(s, d, "progress").select("delivery_no", "received_at")
+    return order.numbered(p, [], "received_at", "delivery_no", span=4096).select("delivery_no", F.col("seq").alias("place"))
+
+
 @query(r"""SELECT delivery_no, regexp_matches(lower(error), '429|rate limit|rate_limit|too many requests|500|502|503|529|overloaded|capacity|timeout|timed out|connection reset|connection refused|connection closed|broken pipe|eof|dns error|network|temporarily unavailable|server error') AS retryable,
   CAST(nullif(coalesce(nullif(regexp_extract(lower(error), 'retry after (\d+)', 1), ''), nullif(regexp_extract(lower(error), 'retry-after: (\d+)', 1), ''), regexp_extract(lower(error), 'try again in (\d+)', 1)), '') AS BIGINT) AS asked FROM progress WHERE error IS NOT NULL""")
 def retryable(s, d):

@@ -17,12 +17,16 @@ def rust_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def crate_roots(files: DataFrame, base: str) -> DataFrame:
-    """(crate, root): for each directory below base its src/lib.rs, src/main.rs, lib.rs or main.rs, in that order; hidden directories and target have none."""
+    """(crate, root, error), by crate: for each directory below base its src/lib.rs, src/main.rs, lib.rs or main.rs, in that order.
+
+    A crate with none of them has an error instead; hidden directories and target are no crates.
+    """
     crate = F.regexp_extract("path", base.strip("/") + r"/([^/]+)/", 1)
     rest = F.regexp_extract("path", base.strip("/") + r"/[^/]+/(.*)$", 1)
     place = F.array_position(F.array(*map(F.lit, ("src/lib.rs", "src/main.rs", "lib.rs", "main.rs"))), rest)
-    ok = files.select("path", crate.alias("crate"), place.alias("place")).where("place > 0 AND crate <> 'target' AND NOT crate LIKE '.%'")
-    return ok.groupBy("crate").agg(F.min_by("path", "place").alias("root"))
+    ok = files.select("path", crate.alias("crate"), F.when(place > 0, place).alias("place")).where("crate NOT IN ('', 'target') AND NOT crate LIKE '.%'")
+    found = ok.groupBy("crate").agg(F.min_by("path", "place").alias("root"))
+    return found.withColumn("error", F.when(F.col("root").isNull(), "no crate root")).orderBy("crate")
 
 
 def progress_log(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +39,9 @@ def findings_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, payload): whole report files, as the drift operator takes them."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
+    """(file, payload, error): whole report files, as the drift operator takes them; what is no valid JSON has an error."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
+    return whole.withColumn("error", F.when(F.try_parse_json("payload").isNull(), "no valid JSON"))
 
 
 def vectors(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -189,6 +189,12 @@ def test_replies(spark):
     assert [tuple(x) for x in r[7]] == [("src/a.rs", 0.82, 42, 45), ("src/c.rs", None, 10, 10)]
 
 
+def test_described_findings(spark):
+    text = "INVARIANTS FOUND\nINVARIANT 1\nName: A\nDescription: x\ny\nConfidence: high\nINVARIANT 2\nName: B\nINVARIANT 3\n**Name:** C\n**Description:** z"
+    got = one(spark, R.described(F.lit(text)).alias("f"), R.described(F.lit("[]")), R.described(F.lit(None).cast("string")))
+    assert [(x["name"], x["description"], x["confidence"]) for x in got[0]] == [("A", "x\ny", "high"), ("C", "z", None)] and got[1] == got[2] == []
+
+
 def test_citations(spark):
     rows = [(1, "high", ("a\nlet x = 1;\nb", "Evidence: line 2: let x = 1;; line 90: LET X")), (2, "high", ("a", "line 1: zzz; line 2: yyy")), (3, "low", (None, None))]
     f = spark.createDataFrame(rows, "id long, confidence string, evidence struct<code_snippet string, explanation string>")
@@ -337,12 +343,16 @@ def test_detector_retries_and_replay(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
-    for name, text in (("a/src/lib.rs", b"fn a() {}"), ("a/src/main.rs", b"x"), ("b/main.rs", b"\xff\xfe"), ("a/target/x.rs", b"no"), (".c/lib.rs", b"x")):
+    for name, text in (("a/src/lib.rs", b"fn a() {}"), ("a/src/main.rs", b"x"), ("b/main.rs", b"\xff\xfe"), ("a/target/x.rs", b"no"), (".c/lib.rs", b"x"), ("d/src/other.rs", b"x")):
         (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "src" / name).write_bytes(text)
     f = files.rust_files(spark, str(tmp_path / "src"))
     assert {r.path.split("/src/", 1)[1]: r.error for r in f.collect()}["b/main.rs"] == "read error: not valid UTF-8"
-    assert {r.crate: r.root.split(str(tmp_path))[1] for r in files.crate_roots(f, str(tmp_path / "src")).collect()} == {"a": "/src/a/src/lib.rs", "b": "/src/b/main.rs"}
+    roots = files.crate_roots(f, str(tmp_path / "src")).collect()
+    assert [(r.crate, r.root and r.root.split(str(tmp_path))[1], r.error) for r in roots] == [("a", "/src/a/src/lib.rs", None), ("b", "/src/b/main.rs", None), ("d", None, "no crate root")]
+    for name, text in (("x.json", '{"a": 1}'), ("y.json", "{")):
+        (tmp_path / name).write_text(text)
+    assert sorted((r.file[-6:], r.error) for r in files.report_payloads(spark, str(tmp_path / "*.json")).collect()) == [("x.json", None), ("y.json", "no valid JSON")]
     rows = spark.createDataFrame([("c", "a#0", "completed")], "crate_name string, module_path string, status string")
     sinks.append_log(rows, str(tmp_path / "log"))
     sinks.append_log(rows, str(tmp_path / "log"))
