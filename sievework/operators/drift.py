@@ -222,12 +222,13 @@ def changes(reports: DataFrame) -> DataFrame:
     is_now = F.transform("now", lambda x: F.struct(x["field"].alias("field"), x.alias("now"), old(x).alias("then")))
     lost = F.filter(then, lambda y: ~F.exists("now", lambda x: x["field"] == y["field"]))
     is_lost = F.transform(lost, lambda y: F.struct(y["field"].alias("field"), F.lit(None).cast("struct<field string, path string, type string>").alias("now"), y.alias("then")))
-    steps = F.filter(F.concat(is_now, is_lost), lambda x: ~x["now"].eqNullSafe(x["then"]))
+    # of a crate's first report only null types are of use later
+    steps = F.filter(F.concat(is_now, is_lost), lambda x: ~x["now"].eqNullSafe(x["then"]) & (~F.col("first") | x["now"]["type"].isNull()))
     rows = both.select("file_id", "crate", "written_at", "scope", "_block", "first", F.explode(steps).alias("s")).select("file_id", "crate", "written_at", "scope", "_block", "first", "s.field", "s.now", "s.then")
-    # the last known type since the field came: the row in which it came tells it even where it is null
-    told = F.when(F.col("now").isNotNull() & (F.col("then").isNull() | F.col("now.type").isNotNull()), F.struct(F.col("now.type").alias("type")))
+    # where a type becomes null, the last known one is carried on, or none if the field comes without
+    told = F.when(F.col("now").isNotNull() & F.col("now.type").isNull() & (F.col("then").isNull() | F.col("then.type").isNotNull()), F.struct(F.col("then.type").alias("type")))
     rows = order.last_before(rows, key, "written_at", "file_id", told, "known", many)
-    known, kind = F.col("known.type"), F.col("now.type")
+    known, kind = F.coalesce("then.type", "known.type"), F.col("now.type")
 
     def event(cond: Column, name: str, **more: Column) -> Column:
         text = lambda k: more.get(k, F.lit(None)).cast("string").alias(k)
@@ -236,7 +237,7 @@ def changes(reports: DataFrame) -> DataFrame:
     stays = F.col("now").isNotNull() & F.col("then").isNotNull()
     events = F.array(
         event(F.col("then").isNull() & ~F.col("first"), "added", new_path=F.col("now.path"), new_type=kind),
-        event(F.col("now").isNull(), "removed", old_path=F.col("then.path"), old_type=F.coalesce("then.type", known)),
+        event(F.col("now").isNull(), "removed", old_path=F.col("then.path"), old_type=known),
         event(stays & (F.col("now.path") != F.col("then.path")), "renamed", old_path=F.col("then.path"), new_path=F.col("now.path")),
         event(stays & (known != kind), "retyped", old_type=known, new_type=kind),
     )
