@@ -39,6 +39,15 @@ class Lexicon(NamedTuple):
     opening: float = 0.0
     closing: float = 0.0
 
+    def plain(self) -> tuple:
+        """The lexicon as tuples: a broadcast is read without this package, which executors need not have."""
+        return {k: tuple(w) for k, w in self.words.items()}, self.opening, self.closing
+
+    @classmethod
+    def of(cls, plain: tuple) -> Lexicon:
+        words, opening, closing = plain
+        return cls({k: Word(*w) for k, w in words.items()}, opening, closing)
+
     def segments(self, run: str) -> list[str]:
         """The best way through the word lattice of a run: a word gains its length times the logarithm of its variety, a character outside of one nothing."""
         words, n = self.words, len(run)
@@ -103,7 +112,7 @@ def _standing(sent):
     """(word, total, opens, closes): the words of the segmented runs, and where runs stand at a sure sentence end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon: Lexicon = sent.value
+        lexicon = Lexicon.of(sent.value)
         for b in batches:
             seen: Counter = Counter()  # (run, opens, closes), so that equal runs are segmented once
             for t in b["text"]:
@@ -151,7 +160,7 @@ def lexicon(documents: DataFrame) -> Lexicon:
     words = {r.gram: Word(math.log(r.variety)) for r in known.select("gram", "variety").toLocalIterator()}
     if not words:
         return Lexicon({})
-    stand = texts.mapInPandas(_standing(spark.sparkContext.broadcast(Lexicon(words))), "word string, total long, opens long, closes long")
+    stand = texts.mapInPandas(_standing(spark.sparkContext.broadcast(Lexicon(words).plain())), "word string, total long, opens long, closes long")
     for r in stand.groupBy("word").agg(F.sum("total").alias("total"), F.sum("opens").alias("opens"), F.sum("closes").alias("closes")).toLocalIterator():
         words[r.word] = Word(words[r.word].weight, r.total, r.opens, r.closes)
     every = sum(w.total for w in words.values()) or 1

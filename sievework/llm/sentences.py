@@ -312,8 +312,9 @@ def sentence_spans(text: str, words: Lexicon = _NO_WORDS) -> list[tuple[int, int
 
 def _sentences(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Lexicon.of(sent.value)
         for b in batches:
-            found = [sentence_spans(t, sent.value) for t in b["text"]]
+            found = [sentence_spans(t, words) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "spans": [[{"sentence_no": i, "start_pos": s, "end_pos": e} for i, (s, e) in enumerate(f)] for f in found]})
 
     return run
@@ -321,8 +322,9 @@ def _sentences(sent):
 
 def _ends(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Lexicon.of(sent.value)
         for b in batches:
-            found = [[e for _, e in sentence_spans(t, sent.value)] for t in b["text"]]
+            found = [[e for _, e in sentence_spans(t, words)] for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].repeat([len(f) for f in found]).to_numpy(), "end_pos": [e for f in found for e in f]}).astype({"end_pos": "int32"})
 
     return run
@@ -333,7 +335,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _sent(documents: DataFrame, words: Lexicon | None):
-    return documents.sparkSession.sparkContext.broadcast(lexicon(documents) if words is None else words)
+    return documents.sparkSession.sparkContext.broadcast((lexicon(documents) if words is None else words).plain())
 
 
 def sentences(documents: DataFrame, words: Lexicon | None = None) -> DataFrame:

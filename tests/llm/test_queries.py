@@ -1,8 +1,12 @@
 """The registered training-text queries over a whole small input, against plain Python."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -177,3 +181,23 @@ def test_sentences_of_the_given_documents(spark, data, rows):
         assert all(r.sentence == texts[d][r.start_pos : r.end_pos] and r.sentence == r.sentence.strip() != "" for r in parts)
         assert all(a.end_pos <= b.start_pos for a, b in zip(parts, parts[1:]))
         assert not any(re.search(r"\n[ \t]*\n", r.sentence) for r in parts)
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """Tasks of every query run where only the driver can import the package."""
+    small = "/root/testdata/sf0.001"
+    if not Path(small).exists():
+        pytest.skip("no test data here")
+    script = tmp_path / "driver.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from sievework.session import local_session
+import __spark_entry__ as entry
+spark = local_session(4)
+for name in ("p2_found", "p3_found", "p4_found", "p6_found", "p6_near", "p7_shares", "p8_found"):
+    assert entry.queries()[name](spark, {small!r}).count() > 0, name
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
