@@ -42,11 +42,13 @@ def _type(v: object) -> str | None:
 
 
 def _leaves(value: object, path: str = "") -> Iterator[tuple[str, object]]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}" if path else str(k))
-    elif path:
-        yield path, value
+    rest = [(path, value)]  # a stack of its own, since reports may be nested deeper than calls can be
+    while rest:
+        path, value = rest.pop()
+        if isinstance(value, dict):
+            rest += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif path:
+            yield path, value
 
 
 def _never(text: str) -> None:
@@ -57,6 +59,8 @@ def loaded(payload: str | None) -> dict | None:
     """The report, or None for what is null, no valid JSON or no object."""
     try:
         report = json.loads(payload or "", parse_constant=_never)
+        if "\\ud" in payload.lower():  # halves of surrogate pairs are no text; they become question marks
+            report = json.loads(json.dumps(report, ensure_ascii=False).encode("utf-8", "replace"))
     except (ValueError, RecursionError):
         return None
     return report if isinstance(report, dict) else None
