@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,11 @@ SPAN = order.SPAN
 PATH = "struct<scope string, path string, type string>"
 
 
+_TYPES = {type(None): None, bool: "true/false", int: "whole", float: "decimal", str: "text"}
+
+
 def _type(v: object) -> str | None:
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "true/false"
-    if isinstance(v, int):
-        return "whole"
-    if isinstance(v, float):
-        return "decimal"
-    return "text" if isinstance(v, str) else "list"
+    return _TYPES.get(type(v), "list")
 
 
 def _leaves(value: object, path: str = "") -> Iterator[tuple[str, object]]:
@@ -75,23 +71,36 @@ def _parts(report: dict) -> tuple[list[tuple[str, object]], list[dict]]:
     return held, [x for x in entries if isinstance(x, dict)] if isinstance(entries, list) else []
 
 
-def _shape(report: dict) -> list[tuple[str, str, str | None]]:
-    """(scope, path, type) of all leaves of a report; a path of the entries has the types it has in any of them."""
+def _signature(report: dict) -> tuple:
+    """What a report's shape follows from: names and Python types of the summary's leaves, and of those of the entries."""
     held, entries = _parts(report)
-    out = {("summary", p): {_type(v)} for p, v in held}
-    shapes = {tuple((k, _type(v) if not isinstance(v, dict) else tuple((p, _type(x)) for p, x in _leaves(v))) for k, v in e.items() if k != "location") for e in entries}
-    for shape in shapes:
-        for k, t in shape:
-            for p, x in [(f"{k}.{q}", y) for q, y in t] if isinstance(t, tuple) else [(k, t)]:
-                out.setdefault(("invariants", p), set()).add(x)
-    return [(s, p, "|".join(sorted(t - {None})) or None) for (s, p), t in sorted(out.items(), key=lambda x: x[0])]
+    seen: set[tuple[str, type]] = set()
+    for e in entries:
+        types = [*map(type, e.values())]
+        if types.count(dict) > (type(e.get("location")) is dict):
+            seen.update((p, type(x)) for k, v in e.items() if k != "location" for p, x in (_leaves(v, k) if isinstance(v, dict) else [(k, v)]))
+        else:
+            seen.update(zip(e, types))
+    return frozenset((p, type(v)) for p, v in held), frozenset(x for x in seen if x[0] != "location")
+
+
+def _shape(signature: tuple) -> list[dict[str, str | None]]:
+    """Scope, path and type of all leaves of a report; a path of the entries has the types it has in any of them."""
+    out: dict[tuple[str, str], set] = {}
+    for scope, pairs in zip(LAYOUT, signature):
+        for p, t in pairs:
+            out.setdefault((scope, p), set()).add(_TYPES.get(t, "list"))
+    return [{"scope": s, "path": p, "type": "|".join(sorted(t - {None})) or None} for (s, p), t in sorted(out.items(), key=lambda x: x[0])]
 
 
-def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths = pa.list_(pa.struct([(c, pa.string()) for c in ("scope", "path", "type")]))
     for b in batches:
-        out, reports = b.drop(columns="payload"), [loaded(p) for p in b["payload"]]
-        out["paths"] = [None if r is None else [{"scope": s, "path": p, "type": t} for s, p, t in _shape(r)] for r in reports]
-        yield out
+        place: dict[tuple, int] = {}  # reports of one shape share it
+        at = [None if (r := loaded(p)) is None else place.setdefault(_signature(r), len(place)) for p in b.column("payload").to_pylist()]
+        found = pa.array([_shape(x) for x in place], paths).take(pa.array(at, pa.int32()))
+        kept = [c for c in b.schema.names if c != "payload"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], [*kept, "paths"])
 
 
 def shapes(reports: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def shapes(reports: DataFrame) -> DataFrame:
 
     Reports without entries have no row for these.
     """
-    read = spread(reports, "file_id").mapInPandas(_shapes, f"file_id long, crate string, written_at timestamp, _block long, paths array<{PATH}>").where("paths IS NOT NULL")
+    read = spread(reports, "file_id").mapInArrow(_shapes, f"file_id long, crate string, written_at timestamp, _block long, paths array<{PATH}>").where("paths IS NOT NULL")
     of = lambda scope: F.transform(F.filter("paths", lambda x: x["scope"] == scope), lambda x: F.struct(x["path"], x["type"]))
     both = F.array(F.struct(F.lit("summary").alias("scope"), of("summary").alias("paths")), F.struct(F.lit("invariants").alias("scope"), of("invariants").alias("paths")))
     return read.select("file_id", "crate", "written_at", "_block", F.explode(both).alias("s")).select("file_id", "crate", "written_at", "_block", "s.scope", "s.paths").where("scope = 'summary' OR size(paths) > 0")
