@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut, spread
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
+ASCII_WORD = re.compile(r"[a-z0-9]+")
 UNSEEN = regex.compile(r"[\p{Cf}\p{M}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 #: The same for Spark, with what compatibility forms become such characters.
@@ -75,20 +77,34 @@ def signatures(ids: np.ndarray, starts: np.ndarray, p: Plan, ends: np.ndarray |
     """
     n, places = p.window, 3 * p.window
     out = np.empty((len(starts), p.tables), np.int64)
+    if len(starts) == 0:
+        return out
+    ends = starts + n if ends is None else ends
+    low, always = starts.min(), int((ends - starts).min())
+    # only the symbols of these windows are walked over
+    ids, starts, ends = ids[low : ends.max()], starts - low, ends - low
     rng = np.random.default_rng(20_250)
     with np.errstate(over="ignore"):
         for t in range(p.tables):
             sampled = set(rng.choice(2 * n, p.samples, replace=False).tolist())
             seed = np.uint64(t * 1_000_003 + 17)
             bits = [_scramble(ids + (seed + np.uint64(w) * np.uint64(7919)) * _MIX) for w in range(-(-places // 64))]
-            at, end, acc = starts.copy(), starts + n if ends is None else ends, np.zeros(len(starts), np.uint64)
+            at, acc = starts.copy(), np.zeros(len(starts), np.uint64)
             for j in range(max(sampled) + 1):
-                inside = at < end
-                i = np.where(inside, at, starts)
+                step = (bits[j // 64] >> np.uint64(j % 64)) & np.uint64(1)
+                if j < always:  # no walk can have left its window yet
+                    if j in sampled:
+                        acc ^= ids[at]
+                    at += step[at].view(np.int64)
+                else:
+                    inside = at < ends
+                    i = np.where(inside, at, starts)
+                    if j in sampled:
+                        acc ^= np.where(inside, ids[i], np.uint64(j))
+                    at += step[i].view(np.int64) & inside
                 if j in sampled:
-                    acc = (acc ^ np.where(inside, ids[i], np.uint64(j))) * _MIX
+                    acc *= _MIX
                     acc ^= acc >> np.uint64(29)
-                at += ((bits[j // 64][i] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64) & inside
             out[:, t] = acc.view(np.int64)
     return out
 
@@ -146,6 +162,8 @@ def holds(a: np.ndarray, length: np.ndarray, b: np.ndarray, p: Plan) -> np.ndarr
 
 def units(text: str) -> list[str]:
     """The words that count: compatibility forms, case, marks and what cannot be seen are levelled."""
+    if text.isascii():
+        return ASCII_WORD.findall(text.lower())
     return WORD.findall(UNSEEN.sub("", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())))
 
 
@@ -165,7 +183,7 @@ def symbols(texts: list[str], by_character: bool, cache: _Symbols) -> tuple[np.n
         if by_character:
             parts.append(_scramble(np.frombuffer("".join(w).encode("utf-32-le"), np.uint32).astype(np.uint64) + _MIX))
         else:
-            parts.append(np.fromiter((cache[x] for x in w), np.uint64, len(w)))
+            parts.append(np.array([*map(cache.__getitem__, w)], np.uint64))
     ends = np.cumsum([0, *map(len, parts)])
     return np.concatenate([*parts, np.empty(0, np.uint64)]), ends
 
