@@ -85,6 +85,14 @@ def test_one_table_keeps_branches_and_extras(spark):
     assert len(t) == 2 and (t[1].summary.state_machine_count.value, t[1].summary.total_invariants.value) == (12, 1)
 
 
+def test_deep_reports_and_halves_of_surrogate_pairs(spark):
+    deep = '{"summary": {"total_invariants": 2, "a": ' + '{"b": ' * 1500 + "1" + "}" * 1500 + '}, "invariants": []}'
+    half = '{"summary": {"total_invariants": 2, "x\\ud800": "\\udc00"}, "invariants": []}'
+    df = reports(spark, rep({"total_invariants": 2}), deep, half)
+    assert [(i, k) for i, _, k in changed(df)] == [(2, "added"), (3, "removed"), (3, "added")]
+    assert drift.one_table(df).where("file_id = 3").first().summary.extra["x?"].value == "?"
+
+
 def test_alternatives(spark):
     rows = drift.alternatives(reports(spark, rep({"state_machine_count": 1}), rep({"state_machine_count": 2}), rep({"stateMachineCount": "3"}), "[")).where("field_path = 'summary.state_machine_count'").collect()
     assert sorted((r.found_as, r.type, r.reports) for r in rows) == [("stateMachineCount", "text", 1), ("state_machine_count", "whole", 2)]
