@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +19,11 @@ from . import order
 SUMMARY = ("total_invariants", "temporal_ordering_count", "resource_lifecycle_count", "state_machine_count", "precondition_count", "protocol_count", "modules_analyzed")
 ENTRY = ("id", "invariant_type", "title", "location", "confidence", "entity")
 PLACE = ("file_path", "line_start", "line_end")
-LAYOUT = {"summary": SUMMARY, "invariants": tuple(f for f in ENTRY if f != "location")}
+LAYOUT = {"summary": SUMMARY, "invariants": tuple(f for f in ENTRY if f != "location"), "location": PLACE}
+#: Scopes whose changes count, and those beside them that only the table and the alternatives tell of.
+COUNTED, BESIDE = ("summary", "invariants"), ("location", "beside")
+#: Paths of a summary and of entries that are neither object nor list; they stand for no field.
+BARE = ("../summary", "../invariants")
 #: A name stands for a field of the layout only if at most this part of its reports holds the field as well ...
 TOGETHER = 0.05
 #: ... and at least this part of the field's moves, or of the reports without it, speaks for the name. So at most a thousand names a field are fused.
@@ -27,23 +32,23 @@ SUPPORT = 0.001
 #: Reports of the whole table in one block of the order, about.
 SPAN = order.SPAN
 
-PATH = "struct<scope string, path string, type string>"
+PATH = "struct<path string, type string>"
 
 
-_TYPES = {type(None): None, bool: "true/false", int: "whole", float: "decimal", str: "text"}
+_TYPES = {type(None): None, bool: "true/false", int: "whole", float: "decimal", str: "text", dict: "object"}
 
 
 def _type(v: object) -> str | None:
     return _TYPES.get(type(v), "list")
 
 
-def _leaves(value: object, path: str = "") -> Iterator[tuple[str, object]]:
+def _leaves(value: object, path: str | None = None) -> Iterator[tuple[str, object]]:
     rest = [(path, value)]  # a stack of its own, since reports may be nested deeper than calls can be
     while rest:
         path, value = rest.pop()
         if isinstance(value, dict):
-            rest += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
-        elif path:
+            rest += [(k if path is None else f"{path}.{k}", v) for k, v in reversed(value.items())]
+        elif path is not None:
             yield path, value
 
 
@@ -53,6 +58,7 @@ def _never(text: str) -> None:
 
 def loaded(payload: str | None) -> dict | None:
     """The report, or None for what is null, no valid JSON or no object."""
+    sys.set_int_max_str_digits(0)  # long numbers are valid JSON
     try:
         report = json.loads(payload or "", parse_constant=_never)
         if "\\ud" in payload.lower():  # halves of surrogate pairs are no text; they become question marks
@@ -62,63 +68,91 @@ def loaded(payload: str | None) -> dict | None:
     return report if isinstance(report, dict) else None
 
 
-def _parts(report: dict) -> tuple[list[tuple[str, object]], list[dict]]:
-    """(leaves of the summary, those outside of it as ../name; entries)."""
-    summary = report.get("summary")
+def _parts(report: dict) -> tuple[list[tuple[str, object]], list]:
+    """(leaves of the summary, those outside of it as ../name; entries).
+
+    An object in place of the list of entries is one entry. What else stands for summary or
+    entries, null aside, is a leaf outside of it.
+    """
+    summary, entries = report.get("summary"), report.get("invariants")
+    inside = {"parse_failures"}
+    if summary is None or isinstance(summary, dict):
+        inside.add("summary")
+    if entries is None or isinstance(entries, (dict, list)):
+        inside.add("invariants")
     held = list(_leaves(summary)) if isinstance(summary, dict) else []
-    held += [(f"../{p}", v) for k, x in report.items() if k not in ("summary", "invariants", "parse_failures") for p, v in _leaves({k: x})]
-    entries = report.get("invariants")
-    return held, [x for x in entries if isinstance(x, dict)] if isinstance(entries, list) else []
+    held += [(f"../{p}", v) for k, x in report.items() if k not in inside for p, v in _leaves({k: x})]
+    if isinstance(entries, dict) and entries:
+        return held, [entries]
+    return held, entries if isinstance(entries, list) else []
+
 
+def _signature(report: dict, whole: bool) -> tuple:
+    """What a report's shape follows from: names and Python types of the summary's leaves, and of those of the entries, None if it has no entries.
 
-def _signature(report: dict) -> tuple:
-    """What a report's shape follows from: names and Python types of the summary's leaves, and of those of the entries."""
+    ``whole`` adds those of the entries' locations, and what stands beside all of these: parse
+    failures, and locations and entries that are no objects.
+    """
     held, entries = _parts(report)
     seen: set[tuple[str, type]] = set()
     for e in entries:
+        if type(e) is not dict:
+            continue
         types = [*map(type, e.values())]
         if types.count(dict) > (type(e.get("location")) is dict):
             seen.update((p, type(x)) for k, v in e.items() if k != "location" for p, x in (_leaves(v, k) if isinstance(v, dict) else [(k, v)]))
         else:
             seen.update(zip(e, types))
-    return frozenset((p, type(v)) for p, v in held), frozenset(x for x in seen if x[0] != "location")
-
-
-def _shape(signature: tuple) -> list[dict[str, str | None]]:
-    """Scope, path and type of all leaves of a report; a path of the entries has the types it has in any of them."""
-    out: dict[tuple[str, str], set] = {}
-    for scope, pairs in zip(LAYOUT, signature):
-        for p, t in pairs:
-            out.setdefault((scope, p), set()).add(_TYPES.get(t, "list"))
-    return [{"scope": s, "path": p, "type": "|".join(sorted(t - {None})) or None} for (s, p), t in sorted(out.items(), key=lambda x: x[0])]
-
+    fields = frozenset((p, type(v)) for p, v in held), frozenset(x for x in seen if x[0] != "location") if entries else None
+    if not whole:
+        return fields
+    places = [e["location"] for e in entries if type(e) is dict and "location" in e]
+    beside = {("../invariants.location", type(x)) for x in places if type(x) is not dict} | {("../invariants", type(e)) for e in entries if type(e) is not dict}
+    if "parse_failures" in report:
+        beside.update((p, type(x)) for p, x in _leaves(report["parse_failures"], "../parse_failures"))
+    return *fields, frozenset((p, type(v)) for x in places if type(x) is dict for p, v in _leaves(x)) or None, frozenset(beside) or None
+
+
+def _shape(signature: tuple) -> list[dict]:
+    """The scopes of a report with path and type of their leaves; a path of the entries has the types it has in any of them."""
+    shape = []
+    for scope, pairs in zip((*COUNTED, *BESIDE), signature):
+        if pairs is not None:
+            out: dict[str, set] = {}
+            for p, t in pairs:
+                out.setdefault(p, set()).add(_TYPES.get(t, "list"))
+            shape.append({"scope": scope, "paths": [{"path": p, "type": "|".join(sorted(t - {None})) or None} for p, t in sorted(out.items(), key=lambda x: x[0])]})
+    return shape
+
+
+def _shapes(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = pa.list_(pa.struct([("path", pa.string()), ("type", pa.string())]))
+        scopes = pa.list_(pa.struct([("scope", pa.string()), ("paths", paths)]))
+        for b in batches:
+            place: dict[tuple, int] = {}  # reports of one shape share it
+            at = [None if (r := loaded(p)) is None else place.setdefault(_signature(r, whole), len(place)) for p in b.column("payload").to_pylist()]
+            found = pa.array([_shape(x) for x in place], scopes).take(pa.array(at, pa.int32()))
+            kept = [c for c in b.schema.names if c != "payload"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], [*kept, "scopes"])
 
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    paths = pa.list_(pa.struct([(c, pa.string()) for c in ("scope", "path", "type")]))
-    for b in batches:
-        place: dict[tuple, int] = {}  # reports of one shape share it
-        at = [None if (r := loaded(p)) is None else place.setdefault(_signature(r), len(place)) for p in b.column("payload").to_pylist()]
-        found = pa.array([_shape(x) for x in place], paths).take(pa.array(at, pa.int32()))
-        kept = [c for c in b.schema.names if c != "payload"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], [*kept, "paths"])
+    return run
 
 
-def shapes(reports: DataFrame) -> DataFrame:
-    """(file_id, crate, written_at, _block, scope, paths): each readable report's paths with their types, summary and entries apart.
+def shapes(reports: DataFrame, whole: bool = False) -> DataFrame:
+    """(file_id, crate, written_at, _block, scope, paths): each readable report's paths with their types, summary and entries apart; with ``whole``, also what stands beside these.
 
-    Reports without entries have no row for these.
+    Reports without entries have no row for these; entries without a field have one without paths.
     """
-    read = spread(reports, "file_id").mapInArrow(_shapes, f"file_id long, crate string, written_at timestamp, _block long, paths array<{PATH}>").where("paths IS NOT NULL")
-    of = lambda scope: F.transform(F.filter("paths", lambda x: x["scope"] == scope), lambda x: F.struct(x["path"], x["type"]))
-    both = F.array(F.struct(F.lit("summary").alias("scope"), of("summary").alias("paths")), F.struct(F.lit("invariants").alias("scope"), of("invariants").alias("paths")))
-    return read.select("file_id", "crate", "written_at", "_block", F.explode(both).alias("s")).select("file_id", "crate", "written_at", "_block", "s.scope", "s.paths").where("scope = 'summary' OR size(paths) > 0")
+    read = spread(reports, "file_id").mapInArrow(_shapes(whole), f"file_id long, crate string, written_at timestamp, _block long, scopes array<struct<scope string, paths array<{PATH}>>>")
+    return read.select("file_id", "crate", "written_at", "_block", F.explode("scopes").alias("s")).select("file_id", "crate", "written_at", "_block", "s.scope", "s.paths")
 
 
-def _before(reports: DataFrame) -> tuple[DataFrame, bool]:
+def _before(reports: DataFrame, whole: bool = False) -> tuple[DataFrame, bool]:
     """Each report's shape with that of the last report before it, written to the shared folder once."""
     lean = reports.select("file_id", F.coalesce("crate_name", F.lit("\0")).alias("crate"), "written_at", "payload")
     placed, many = order.blocked(lean, "written_at", "file_id", SPAN)
-    return cut(order.last_before(shapes(placed), ["crate", "scope"], "written_at", "file_id", F.struct("paths"), "was", many)), many
+    return cut(order.last_before(shapes(placed, whole), ["crate", "scope"], "written_at", "file_id", F.struct("paths"), "was", many)), many
 
 
 def _words(name: str) -> set[str]:
@@ -136,9 +170,9 @@ def _steps(shaped: DataFrame) -> DataFrame:
     return cut(shaped.groupBy("scope", names(F.col("paths")).alias("now"), names(F.col("was.paths")).alias("then")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _speaking(fused: dict[tuple[str, str], str], steps: DataFrame, by_moves: bool) -> dict[tuple[str, str], str]:
+def _speaking(fused: dict[tuple[str, str], str], steps: DataFrame, by_moves: bool, scopes: tuple[str, ...]) -> dict[tuple[str, str], str]:
     """(scope, path) -> field for the paths that stand for a field of the layout, what is fused already counting as that field."""
-    fields, none = [(s, f) for s in LAYOUT for f in LAYOUT[s]], F.array().cast("array<string>")
+    fields, none = [(s, f) for s in scopes for f in LAYOUT[s]], F.array().cast("array<string>")
     full = [f"{s}.{f}" for s, f in fields]
     table, layout = _table(fused), F.array(*map(F.lit, full))
 
@@ -149,7 +183,7 @@ def _speaking(fused: dict[tuple[str, str], str], steps: DataFrame, by_moves: boo
     here = steps.select("scope", "n", names(F.col("now")).alias("now"), names(F.col("then")).alias("then"), F.col("then").isNotNull().alias("after"))
     moved = lambda a, b: F.when(F.col("after"), F.array_except(a, b)).otherwise(none)
     known = here.select("scope", "n", "now", F.array_intersect(layout, "now").alias("held"), moved("now", "then").alias("new"), moved("then", "now").alias("lost"))
-    others = F.array_except(F.array_union("now", "lost"), layout)
+    others = F.array_except(F.array_union("now", "lost"), F.array(*map(F.lit, [*full, *(f"summary.{p}" for p in BARE)])))
 
     def one(p: Column) -> Column:
         gone = F.array_contains("lost", p)
@@ -179,7 +213,7 @@ def _speaking(fused: dict[tuple[str, str], str], steps: DataFrame, by_moves: boo
     return {(r[0], r[1][len(r[0]) + 1 :]): fields[-r[2]["place"]][1] for r in best.collect()}
 
 
-def _fused(shaped: DataFrame) -> dict[tuple[str, str], str]:
+def _fused(shaped: DataFrame, scopes: tuple[str, ...] = COUNTED) -> dict[tuple[str, str], str]:
     """(scope, path) -> field: the drifted names and levels under which fields of the layout live on, as the reports show it.
 
     A path stands for a field if the two are not found together and either its words include one
@@ -188,9 +222,9 @@ def _fused(shaped: DataFrame) -> dict[tuple[str, str], str]:
     between all names of a field. One aggregate a path counts all of that; only what is fused
     reaches the driver, and ``SUPPORT`` bounds it.
     """
-    steps = _steps(shaped)
-    worded = _speaking({}, steps, False)
-    return worded | _speaking(worded, steps, True)
+    steps = _steps(shaped.where(F.col("scope").isin(*scopes)))
+    worded = _speaking({}, steps, False, scopes)
+    return worded | _speaking(worded, steps, True, scopes)
 
 
 def _placed(paths: Column, fused: dict[tuple[str, str], str], scope: Column) -> Column:
@@ -208,7 +242,8 @@ def _placed(paths: Column, fused: dict[tuple[str, str], str], scope: Column) ->
 
 
 def _field_path(scope: Column, field: Column) -> Column:
-    return F.when(field.startswith("../"), F.substring(field, 4, 1 << 30)).otherwise(F.concat(scope, F.lit("."), field))
+    at = F.when(scope == "location", "invariants.location").otherwise(scope)
+    return F.when(field.startswith("../"), F.substring(field, 4, 1 << 30)).otherwise(F.concat(at, F.lit("."), field))
 
 
 def changes(reports: DataFrame) -> DataFrame:
@@ -216,8 +251,8 @@ def changes(reports: DataFrame) -> DataFrame:
 
     Each report's paths carry their typed alternatives; which drifted name or level stands for a
     field of the layout is inferred from all reports (:func:`_fused`). A report is compared with
-    the last before it that is readable, for the entries' fields the last that has entries. Added
-    and removed compare presence, renamed the path, retyped the type, where null has none and the
+    the last before it that is readable, for the entries' fields the last that has entries, be they
+    without a field. Location and parse failures do not count. Added and removed compare presence, renamed the path, retyped the type, where null has none and the
     last known one of an unbroken presence stands. A path outside of summary and entries is named
     as found. Payloads that are null, cut off, or no JSON object are passed over. Reports of one
     instant go by file_id, null times come first, a null crate_name is a crate of its own.
@@ -261,12 +296,14 @@ def changes(reports: DataFrame) -> DataFrame:
 def alternatives(reports: DataFrame) -> DataFrame:
     """(field_path, found_as, type, reports, first_seen): every name and type under which a field was found, in how many reports and since when.
 
-    The union of all shapes: paths that stand for a field of the layout are its alternatives. A
-    null has no type; the entries of one report count once, with all the types they have.
+    The union of all shapes, locations and parse failures included: paths that stand for a field of
+    the layout are its alternatives. A null has no type; the entries of one report count once, with
+    all the types they have.
     """
-    shaped, _ = _before(reports)
-    each = shaped.select("scope", "written_at", F.explode(_placed(F.col("paths"), _fused(shaped), F.col("scope"))).alias("p"))
-    return each.groupBy(_field_path(F.col("scope"), F.col("p.field")).alias("field_path"), F.col("p.path").alias("found_as"), F.col("p.type").alias("type")).agg(F.count(F.lit(1)).alias("reports"), F.min("written_at").alias("first_seen"))
+    shaped, _ = _before(reports, True)
+    each = shaped.select("scope", "written_at", F.explode(_placed(F.col("paths"), _fused(shaped, tuple(LAYOUT)), F.col("scope"))).alias("p"))
+    found_as = F.when(F.col("scope") == "location", F.concat(F.lit("location."), "p.path")).otherwise(F.col("p.path"))
+    return each.groupBy(_field_path(F.col("scope"), F.col("p.field")).alias("field_path"), found_as.alias("found_as"), F.col("p.type").alias("type")).agg(F.count(F.lit(1)).alias("reports"), F.min("written_at").alias("first_seen"))
 
 
 def _branch(v: object, number: bool) -> dict | None:
@@ -288,12 +325,16 @@ def _branch(v: object, number: bool) -> dict | None:
     return {"value": value, "branch": kind, "raw": json.dumps(v, ensure_ascii=False)}
 
 
+def _outside(v: object) -> dict:
+    return _branch(v, False) or {"value": None, "branch": None, "raw": "null"}
+
+
 def _in_layout(pairs: list[tuple[str, object]], fused: dict[str, str], layout: tuple[str, ...], numbers: tuple[str, ...]) -> dict:
     own, out, extra = {p for p, _ in pairs}, {}, {}
     for p, v in sorted(pairs, key=lambda x: x[0]):
         f = p if p in layout else fused.get(p, p)
         if f not in layout or f != p and (f in own or f in out):
-            extra[p] = _branch(v, False) or {"value": None, "branch": None, "raw": "null"}
+            extra[p] = _outside(v)
         else:
             out[f] = _branch(v, f in numbers)
     return {f: out.get(f) for f in layout} | {"extra": extra}
@@ -313,16 +354,18 @@ def _canonical(fused: dict[tuple[str, str], str]):
                 held, entries = _parts(report)
                 rows = []
                 for e in entries:
+                    if not isinstance(e, dict):
+                        rows.append({"extra": {"": _outside(e)}})
+                        continue
                     at = e.get("location")
                     row = _in_layout(list(_leaves({k: v for k, v in e.items() if k != "location"})), of["invariants"], LAYOUT["invariants"], ("id",))
-                    row |= _in_layout(list(_leaves(at)) if isinstance(at, dict) else [], {}, PLACE, PLACE[1:]) | {"extra": row["extra"]}
-                    if isinstance(at, dict):
-                        row["extra"] |= {f"location.{p}": x for p, x in _in_layout(list(_leaves(at)), {}, PLACE, PLACE[1:])["extra"].items()}
-                    elif at is not None:
-                        row["extra"]["location"] = _branch(at, False)
-                    rows.append(row)
+                    place = _in_layout(list(_leaves(at)) if isinstance(at, dict) else [], of["location"], PLACE, PLACE[1:])
+                    row["extra"] |= {f"location.{p}": x for p, x in place.pop("extra").items()}
+                    if at is not None and not isinstance(at, dict):
+                        row["extra"]["location"] = _outside(at)
+                    rows.append(row | place)
                 summary = _in_layout(held, of["summary"], SUMMARY, SUMMARY)
-                made.append(json.dumps({"summary": summary, "invariants": rows}, ensure_ascii=False))
+                made.append(json.dumps({"summary": summary, "invariants": rows, "parse_failures": _branch(report.get("parse_failures"), True)}, ensure_ascii=False))
             out["canonical"] = made
             yield out
 
@@ -330,19 +373,21 @@ def _canonical(fused: dict[tuple[str, str], str]):
 
 
 def one_table(reports: DataFrame) -> DataFrame:
-    """Every readable report in one layout: (file_id, crate_name, run_id, written_at, summary, invariants).
+    """Every readable report in one layout: (file_id, crate_name, run_id, written_at, summary, invariants, parse_failures).
 
     Each field is a struct of ``value``, the typed ``branch`` it was found in and the ``raw`` JSON.
     Counts and ids become whole numbers: texts of digits are read, decimals cut, a list counts its
     items; what does not fit (1e400) has no value. Texts stay, of a list the first text is taken;
     what has neither has no value and stays in raw. Fields outside the layout, those of the
-    report's top level as ../name among them, are in ``extra``, a map of the same structs.
+    report's top level as ../name among them, are in ``extra``, a map of the same structs. Names
+    drift within locations as well. An entry that is no object is a row with itself as ``extra``
+    without a name. Of parse failures the value is their number.
     """
-    fused = _fused(_before(reports)[0])
+    fused = _fused(_before(reports, True)[0], tuple(LAYOUT))
     struct = lambda v: f"struct<value {v}, branch string, raw string>"
     extra = f"extra map<string, {struct('string')}>"
     entry = ", ".join(f"{f} {struct('bigint' if f in ('id', *PLACE[1:]) else 'string')}" for f in (*LAYOUT["invariants"], *PLACE))
-    layout = f"summary struct<{', '.join(f'{f} {struct("bigint")}' for f in SUMMARY)}, {extra}>, invariants array<struct<{entry}, {extra}>>"
+    layout = f"summary struct<{', '.join(f'{f} {struct("bigint")}' for f in SUMMARY)}, {extra}>, invariants array<struct<{entry}, {extra}>>, parse_failures {struct("bigint")}"
     lean = reports.select("file_id", "crate_name", "run_id", "written_at", "payload")
     read = spread(lean, "file_id").mapInPandas(_canonical(fused), "file_id long, crate_name string, run_id string, written_at timestamp, canonical string").where("canonical IS NOT NULL")
-    return read.select("file_id", "crate_name", "run_id", "written_at", F.from_json("canonical", layout).alias("r")).select("file_id", "crate_name", "run_id", "written_at", "r.summary", "r.invariants")
+    return read.select("file_id", "crate_name", "run_id", "written_at", F.from_json("canonical", layout).alias("r")).select("file_id", "crate_name", "run_id", "written_at", "r.summary", "r.invariants", "r.parse_failures")

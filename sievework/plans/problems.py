@@ -27,7 +27,7 @@ def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     """One row per report in the layout, with the branches that its drifting fields came in and the fields outside of it."""
     t = drift.one_table(table(spark, d, "report_files"))
-    return t.select("file_id", "crate_name", "run_id", "written_at", *[F.col(f"summary.{f}.value").alias(f) for f in drift.SUMMARY], F.col("summary.temporal_ordering_count.branch").alias("temporal_ordering_branch"), F.col("summary.state_machine_count.branch").alias("state_machine_branch"), F.to_json("summary.extra").alias("extra"), F.to_json("invariants").alias("invariants"))
+    return t.select("file_id", "crate_name", "run_id", "written_at", *[F.col(f"summary.{f}.value").alias(f) for f in drift.SUMMARY], F.col("summary.temporal_ordering_count.branch").alias("temporal_ordering_branch"), F.col("summary.state_machine_count.branch").alias("state_machine_branch"), F.to_json("summary.extra").alias("extra"), F.to_json("invariants").alias("invariants"), F.to_json("parse_failures").alias("parse_failures"))
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:

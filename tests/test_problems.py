@@ -93,6 +93,41 @@ def test_deep_reports_and_halves_of_surrogate_pairs(spark):
     assert drift.one_table(df).where("file_id = 3").first().summary.extra["x?"].value == "?"
 
 
+def test_entries_without_a_field_are_entries(spark):
+    e, at = {"id": 1, "title": "t"}, {"location": {"line_start": 1}}
+    gone, back = [("invariants.id", k) for k in ("removed", "added")], [("invariants.title", k) for k in ("removed", "added")]
+    for bare in (at, {}, {"location": None}, "t"):
+        out = changed(reports(spark, rep({}, e | at), rep(), rep({}, bare), rep(), rep({}, bare), rep({}, e)))
+        assert out == [(3, *gone[0]), (3, *back[0]), (6, *gone[1]), (6, *back[1])], bare
+
+
+def test_all_parts_of_a_report_are_kept(spark):
+    e, long = {"id": 1, "title": "t"}, "7" * 5000
+    some = [
+        rep({}, e | {"location": {"file_path": "f", "line_start": 3}}),
+        rep({}, e | {"location": {"file_path": "f", "start": "4", "": 0}}, "lost", None),
+        {"summary": "none", "invariants": e | {"location": "f:5"}, "parse_failures": [["f", "x"], ["g", "y"]]},
+        {"summary": {"total_invariants": 1}, "invariants": "none", "parse_failures": {"f": 1}},
+        '{"summary": {"total_invariants": 1, "state_machine_count": ' + long + ', "": 2}, "invariants": []}',
+    ]
+    df = reports(spark, *some)
+    found = {(r.field_path, r.found_as, r.type): r.reports for r in drift.alternatives(df).collect()}
+    assert {k: n for k, n in found.items() if "location" in k[0] or k[1].startswith("../")} == {
+        ("invariants.location.file_path", "location.file_path", "text"): 2,
+        ("invariants.location.line_start", "location.line_start", "whole"): 1, ("invariants.location.line_start", "location.start", "text"): 1, ("invariants.location.", "location.", "whole"): 1,
+        ("invariants.location", "../invariants.location", "text"): 1, ("invariants", "../invariants", "text"): 2, ("summary", "../summary", "text"): 1,
+        ("parse_failures", "../parse_failures", "list"): 3, ("parse_failures.f", "../parse_failures.f", "whole"): 1,
+    }
+    assert found["invariants.title", "title", "text"] == 3 and found["summary.", "", "whole"] == 1
+    t = drift.one_table(df).orderBy("file_id").collect()
+    assert [[x.title and x.title.value for x in r.invariants] for r in t] == [["t"], ["t", None, None], ["t"], [], []]
+    assert (t[1].invariants[0].line_start.value, t[1].invariants[0].extra["location."].raw, [x.extra[""].raw for x in t[1].invariants[1:]]) == (4, "0", ['"lost"', "null"])
+    assert t[2].summary.extra["../summary"].value == "none" and t[2].invariants[0].extra["location"].value == "f:5" and t[3].summary.extra["../invariants"].value == "none"
+    assert [r.parse_failures and (r.parse_failures.value, r.parse_failures.branch) for r in t] == [(0, "list"), (0, "list"), (2, "list"), (None, "object"), None]
+    assert (t[4].summary.state_machine_count.value, t[4].summary.state_machine_count.raw, t[4].summary.extra[""].raw) == (None, long, "2")
+    assert [x for x in changed(df) if "invariants.i" in x[1] or "invariants.t" in x[1]] == []
+
+
 def test_alternatives(spark):
     rows = drift.alternatives(reports(spark, rep({"state_machine_count": 1}), rep({"state_machine_count": 2}), rep({"stateMachineCount": "3"}), "[")).where("field_path = 'summary.state_machine_count'").collect()
     assert sorted((r.found_as, r.type, r.reports) for r in rows) == [("stateMachineCount", "text", 1), ("state_machine_count", "whole", 2)]
